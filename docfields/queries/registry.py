@@ -296,11 +296,11 @@ def serial_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chains(pages: DataFrame, terms: list[str], n: int, patterns: dict) -> DataFrame:
     folded = pages.select("page_id", "text", fold(F.col("text")).alias("low"))
-    each = F.array(*[
-        F.struct(F.lit(i).alias("term_pos"), F.lit(t).alias("initial"),
-                 ch.chain(F.col("text"), t, n, patterns, F.col("low")).alias("chain"))
-        for i, t in enumerate(terms)
-    ])
+    each = F.transform(
+        F.array(*[F.lit(t) for t in terms]),
+        lambda t, i: F.struct(i.alias("term_pos"), t.alias("initial"),
+                              ch.chain(F.col("text"), t, n, patterns, F.col("low")).alias("chain")),
+    )
     return folded.select("page_id", F.inline(each)).where(F.size("chain") > 0)
 
 

@@ -12,9 +12,7 @@ def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _pattern(term: str, tail: str = "", column: bool = False) -> str:
-    if column:
-        return f"concat('(?is)', regexp_escape({term}), {quote(tail)})"
+def _pattern(term: str, tail: str = "") -> str:
     return quote("(?is)" + re.escape(term).replace(r"\ ", " ") + tail)
 
 
@@ -31,12 +29,21 @@ def field_all(text: str, regexes: list[str]) -> str:
     return " || ".join(f"regexp_extract_all({text}, {quote('(?is)' + r)}, 1)" for r in regexes)
 
 
+def _at(text: str, term: str) -> str:
+    return f"nullif(instr(lower({text}), lower({term})), 0)"
+
+
 def found(text: str, term: str, column: bool = False) -> str:
-    return f"nullif(regexp_extract({text}, {_pattern(term, '', column)}), '')"
+    """For a term from a column by position, since a pattern would be compiled for every row."""
+    if column:
+        return f"substr({text}, {_at(text, term)}, length({term}))"
+    return f"nullif(regexp_extract({text}, {_pattern(term)}), '')"
 
 
 def snippet(text: str, term: str, column: bool = False) -> str:
-    after = _pattern(term, r"[\s:=-]*(.{0,100})", column)
+    if column:
+        return f"left(ltrim(substr({text}, {_at(text, term)} + length({term})), {WS} || ':=-'), 100)"
+    after = _pattern(term, r"[\s:=-]*(.{0,100})")
     return f"regexp_extract_all({text}, {after}, 1)[1]"
 
 
@@ -102,13 +109,13 @@ def chains(pages: str, terms: list[str], patterns: dict, n: int) -> str:
         for pos, t in enumerate(terms) for k, v in [search("text", t, patterns)]
     )
     alive = "term is not null and term <> '' and value is not null and value <> ''"
-    ctes = [f"s1 as ({first})",
-            f"h1 as (select *, concat(term, ':', value) as path from s1 where {alive})"]
+    ctes = [f"s1 as materialized ({first})",
+            f"h1 as materialized (select *, concat(term, ':', value) as path from s1 where {alive})"]
     for i in range(2, n + 1):
         key, value = search("text", "last", patterns, column=True)
-        ctes.append(f"s{i} as (select page_id, text, term_pos, initial, {key} as term, {value} as value, before "
+        ctes.append(f"s{i} as materialized (select page_id, text, term_pos, initial, {key} as term, {value} as value, before "
                     f"from (select page_id, text, term_pos, initial, value as last, path as before from h{i - 1}))")
-        ctes.append(f"h{i} as (select page_id, text, term_pos, initial, term, value, "
+        ctes.append(f"h{i} as materialized (select page_id, text, term_pos, initial, term, value, "
                     f"concat(before, ' -> ', term, ':', value) as path from s{i} where {alive})")
     last = []
     for i in range(1, n + 1):

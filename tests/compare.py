@@ -27,15 +27,17 @@ def rows_of(columns, rows):
 
 
 def difference(spark, con, query, sql, sf_dir):
-    """`(rows in Spark, rows in DuckDB, only in Spark, only in DuckDB)`, the last two as counters."""
+    """`(rows in Spark, rows in DuckDB, only in Spark, only in DuckDB, seconds in Spark)`."""
     df = query(spark, sf_dir)
+    start = time.time()
     ours = df.collect()
+    spent = time.time() - start
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     theirs = cursor.fetchall()
     assert sorted(df.columns) == sorted(names), (df.columns, names)
     left, right = rows_of(df.columns, ours), rows_of(names, theirs)
-    return len(ours), len(theirs), left - right, right - left
+    return len(ours), len(theirs), left - right, right - left, spent
 
 
 def main() -> int:
@@ -50,9 +52,9 @@ def main() -> int:
             continue
         start = time.time()
         try:
-            n, m, left, right = difference(spark, con, query, sqls[name], sf_dir)
+            n, m, left, right, spent = difference(spark, con, query, sqls[name], sf_dir)
             good = n == m and not left and not right
-            print(f"{'ok ' if good else 'BAD'} {name} {n} {m} {time.time() - start:.1f}s", flush=True)
+            print(f"{'ok ' if good else 'BAD'} {name} {n} {m} spark {spent:.1f}s all {time.time() - start:.1f}s", flush=True)
             if not good:
                 bad += 1
                 print("   spark only:", list(left)[:3], "\n   duckdb only:", list(right)[:3], flush=True)
