@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docfields.fixed import FLAVORS
 from docfields.functions import chain as ch
 from docfields.functions.casing import fold
-from docfields.functions.search import Patterns, literal_find, patterns_for, resolve, snippet_after
+from docfields.functions.search import (
+    Patterns, let, literal_find, patterns_for, resolve, snippet_after,
+)
 from docfields.functions.serials import serial_first
 from docfields.functions.text import normalize_key
 from docfields.operators.tables import lookup_in_row, lookup_terms, page_tables, table_lookup
@@ -26,12 +28,14 @@ def _no_string() -> Column:
 
 
 def _first_search(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None,
-                  serials: bool, word_boundary: bool) -> DataFrame:
-    """Per page an array `_hits` with the parts of the first search of each term."""
+                  serials: bool, word_boundary: bool) -> tuple[DataFrame, Column]:
+    """Pages with what the search of all terms shares, and the array with the parts of each search.
+
+    Separate projections, so that the folded text and each pattern are worked out once per page.
+    """
     text, low = F.col("text"), F.col("_low")
-    overrides = (patterns or {}).get("serial")
     serial = (
-        serial_first(text, overrides, low, word_boundary) if serials else _no_string()
+        serial_first(text, (patterns or {}).get("serial"), low, word_boundary) if serials else _no_string()
     )
     by_pattern = F.array(*[patterns_for(t, text, patterns, word_boundary) for t in terms])
 
@@ -43,47 +47,38 @@ def _first_search(pages: DataFrame, terms: Sequence[str], patterns: Patterns | N
             F.when(pat.isNull(), snippet_after(text, term, low=low)).alias("snippet"),
         )
 
-    # Separate projections, so that the folded text and each pattern are worked out once per page.
-    return (
+    shared = (
         pages.select("page_id", "text", fold(text).alias("_low"))
         .select("page_id", "text", "_low", serial.alias("serial"), by_pattern.alias("_pat"))
-        .select("page_id", "text", "_low", "serial",
-                F.array(*[parts(i, t) for i, t in enumerate(terms)]).alias("_hits"))
     )
+    return shared, F.array(*[parts(i, t) for i, t in enumerate(terms)])
 
 
-def _text_key(chain: Column, term: Column, found_key: Column, n: int, trace: bool) -> Column:
-    if trace:
-        return normalize_key(F.try_element_at(chain, F.lit(-1))["term"])
-    return normalize_key(term if n else found_key)
-
-
-def _follow(df: DataFrame, n: int, trace: bool, patterns: Patterns | None, full_numbers: bool,
-            word_boundary: bool) -> DataFrame:
-    """Turn the parts in `_hits` into `term_pos, term, key, value, path`, following chains."""
+def _follow(parts: Column, n: int, trace: bool, patterns: Patterns | None, full_numbers: bool,
+            word_boundary: bool) -> Column:
+    """From the parts of each search to `term_pos, term, key, value, path`, following chains."""
     text, low = F.col("text"), F.col("_low")
 
-    def resolved(h: Column) -> Column:
-        hit = resolve(h["term"], h["pat"], h["found"], h["snippet"], full_numbers)
-        return F.struct(h["term_pos"].alias("term_pos"), h["term"].alias("term"), hit.alias("hit"))
-
     def chained(h: Column) -> Column:
-        hops = ch.extend(ch.start(h["hit"]), text, low, n, patterns, full_numbers, word_boundary)
+        hit = resolve(h["term"], h["pat"], h["found"], h["snippet"], full_numbers)
+        hops = ch.extend(let(hit, ch.start), text, low, n, patterns, full_numbers, word_boundary)
         return F.struct(h["term_pos"].alias("term_pos"), h["term"].alias("term"), hops.alias("chain"))
 
     def result(h: Column) -> Column:
         hops = h["chain"]
         some = F.size(hops) > 0
         last = F.try_element_at(hops, F.lit(-1))
+        if trace:
+            key = last["term"]
+        else:
+            key = h["term"] if n else F.get(hops, F.lit(0))["term"]
         return F.struct(
             h["term_pos"].alias("term_pos"), h["term"].alias("term"),
-            F.when(some, _text_key(hops, h["term"], F.get(hops, F.lit(0))["term"], n, trace)).alias("key"),
-            F.when(some, last["value"]).alias("value"),
+            F.when(some, normalize_key(key)).alias("key"), F.when(some, last["value"]).alias("value"),
             (ch.chain_path(hops) if trace else _no_string()).alias("path"),
         )
 
-    hits = F.transform(F.transform(F.transform(F.col("_hits"), resolved), chained), result)
-    return df.withColumn("_hits", hits)
+    return F.transform(F.transform(parts, chained), result)
 
 
 def text_hits(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None = None, *, n: int = 0,
@@ -95,19 +90,11 @@ def text_hits(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None
     path are NULL where the text gives nothing (no hit, or a hit without a value).
     """
     ch.check_hops(n)
-    df = _first_search(pages, terms, patterns, serials, word_boundary)
-    if n >= 2 or trace:
-        df = _follow(df, n, trace, patterns, full_numbers, word_boundary)
-        return df.select("page_id", "serial", F.inline("_hits"))
-    hit = resolve(F.col("term"), F.col("pat"), F.col("found"), F.col("snippet"), full_numbers)
-    some = (F.col("_hit.key") != "") & (F.col("_hit.value") != "")
-    key = normalize_key(F.col("term") if n else F.col("_hit.key"))
-    return (
-        df.select("page_id", "serial", F.inline("_hits"))
-        .select("page_id", "serial", "term_pos", "term", hit.alias("_hit"))
-        .select("page_id", "serial", "term_pos", "term", F.when(some, key).alias("key"),
-                F.when(some, F.col("_hit.value")).alias("value"), _no_string().alias("path"))
-    )
+    df, parts = _first_search(pages, terms, patterns, serials, word_boundary)
+    # The whole expression sits inside the generator: a filter on its output cannot be pushed into
+    # it, so nothing is searched twice.
+    hits = _follow(parts, n, trace, patterns, full_numbers, word_boundary)
+    return df.select("page_id", "serial", F.inline(hits))
 
 
 def missed_pairs(hits: DataFrame) -> DataFrame:
@@ -122,8 +109,8 @@ def _results(rows: DataFrame) -> DataFrame:
 def _with_tables_in_text(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None, n: int,
                          trace: bool, serials: bool, flavors: Sequence[str], full_numbers: bool,
                          word_boundary: bool) -> DataFrame:
-    df = _first_search(pages, terms, patterns, serials, word_boundary)
-    df = _follow(df, n, trace, patterns, full_numbers, word_boundary)
+    df, parts = _first_search(pages, terms, patterns, serials, word_boundary)
+    df = df.withColumn("_hits", _follow(parts, n, trace, patterns, full_numbers, word_boundary))
     looked_up = [pos for pos, _ in lookup_terms(terms)]
 
     def eligible(h: Column) -> Column:

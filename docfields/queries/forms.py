@@ -7,6 +7,7 @@ further row.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docfields.plans.spread import spread
 from docfields.sources.pages import explode_pages
 
 PAGE_1_SPARK = """concat(
@@ -59,9 +60,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spread(read(spark, sf_dir, name).select(*columns))
+
+
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`doc_id, text` with the pages parted by a form feed."""
-    orders = read(spark, sf_dir, "orders")
+    orders = read_spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                         "o_orderdate", "o_orderpriority")
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(
@@ -86,7 +92,7 @@ def second_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given documents as pages: `page_id, text`."""
-    return read(spark, sf_dir, "documents").select(
+    return read_spread(spark, sf_dir, "documents", "doc_id", "text").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("page_id"), "text"
     )
 
@@ -101,7 +107,9 @@ def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(i).alias("col_idx"), F.lit(h).alias("header"), F.expr(e).alias("cell"))
         for i, (h, e) in enumerate(headers.items())
     ])
-    return read(spark, sf_dir, "lineitem").select(
+    lines = read_spread(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
+                        "l_discount", "l_returnflag", "l_linestatus")
+    return lines.select(
         F.concat(F.lit("form_"), F.col("l_orderkey").cast("string"), F.lit("_page_1.png")).alias("page_id"),
         F.expr("case when l_linestatus = 'F' then 'lattice' else 'stream' end").alias("flavor"),
         F.expr("case when l_linestatus = 'F' then 0 else 1 end").alias("flavor_rank"),
