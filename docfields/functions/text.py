@@ -19,8 +19,8 @@ def normalize_key(c: Column) -> Column:
 
 
 def normalize_cell(c: Column) -> Column:
-    """A table cell as it enters the signature."""
-    return F.lower(strip(collapse(F.coalesce(c.cast("string"), F.lit("")))))
+    """A table cell as it enters the signature. Once collapsed, only plain spaces are left to strip."""
+    return F.lower(F.btrim(collapse(F.coalesce(c.cast("string"), F.lit("")))))
 
 
 def normalize_header(c: Column) -> Column:

@@ -11,6 +11,7 @@ gives all distinct values of the column, kind 1 the first cell in reading order.
 """
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,24 +33,22 @@ def lookup_terms(terms: Sequence[str]) -> list[tuple[int, str]]:
 
 # -- signatures and duplicates ----------------------------------------------------------------------
 
-def _cell_hash(part: int) -> Column:
-    """60 bits of the MD5 of a cell with its place and header."""
-    told = F.md5(F.concat_ws("\u0001", "row_idx", "col_idx", normalize_header(F.col("header")),
-                             normalize_cell(F.col("cell"))).cast("binary"))
-    return F.conv(F.substring(told, 1 + 15 * part, 15), 16, 10).cast("decimal(20,0)")
-
-
 def table_signatures(cells: DataFrame, sample_rows: int = SIGNATURE_ROWS) -> DataFrame:
     """One signature per table over its headers and first rows.
 
-    The signature is the MD5 of two sums of cell hashes. Sums do not depend on order and combine
-    before the shuffle, so no table is collected.
+    Each cell with its place and header has an MD5, and the signature is the MD5 of the sum of 60 bits
+    of each and of the number of cells. A sum does not depend on order and combines before the shuffle,
+    so no table is ever collected.
     """
-    sums = [F.sum(_cell_hash(i)).cast("string") for i in range(2)]
+    cell = F.concat_ws("\u0001", "row_idx", "col_idx", normalize_header(F.col("header")),
+                       normalize_cell(F.col("cell")))
+    bits = F.conv(F.substring(F.md5(cell.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    told = F.concat_ws("\u0001", F.sum("_bits").cast("string"), F.count("_bits").cast("string"))
     return (
         cells.where(F.col("row_idx") < sample_rows)
+        .select(*TABLE_KEY, bits.alias("_bits"))
         .groupBy(*TABLE_KEY)
-        .agg(F.md5(F.concat_ws("\u0001", *sums).cast("binary")).alias("signature"))
+        .agg(F.md5(told.cast("binary")).alias("signature"))
     )
 
 
@@ -73,22 +72,37 @@ def dedupe_tables(cells: DataFrame, sample_rows: int = SIGNATURE_ROWS) -> DataFr
 def _candidates(cells: DataFrame, terms: Sequence[tuple[int, str]], kinds: Sequence[int]) -> DataFrame:
     """One row per cell, term and kind; narrow, and most cells give none."""
     filled = F.col("cell").isNotNull() & (F.col("cell") != "")
-    header, cell = F.lower("header"), F.lower("cell")
-    options = []
-    for pos, term in terms:
-        if 0 in kinds:
-            options.append(F.when(filled & F.contains(header, F.lit(term)),
-                                  F.struct(F.lit(pos).alias("term_pos"), F.lit(term).alias("term"),
-                                           F.lit(0).alias("kind"), F.col("col_idx").alias("col"))))
-        if 1 in kinds:
-            options.append(F.when(filled & F.contains(cell, F.lit(term)),
-                                  F.struct(F.lit(pos).alias("term_pos"), F.lit(term).alias("term"),
-                                           F.lit(1).alias("kind"), F.lit(0).alias("col"))))
+    searched = {0: F.lower("header"), 1: F.lower("cell")}
+    options = [
+        F.when(filled & F.contains(searched[kind], F.lit(term)),
+               F.struct(F.lit(pos).alias("term_pos"), F.lit(term).alias("term"), F.lit(kind).alias("kind")))
+        for pos, term in terms for kind in kinds
+    ]
     return cells.select(
         *TABLE_KEY, "row_idx", "col_idx", "cell", F.inline(F.array_compact(F.array(*options)))
     )
 
 
+def _rank() -> Column:
+    """The order of candidates (layout, table, kind, place) as one number.
+
+    All values of a column rank the same (kind 0), each cell ranks by row and column (kind 1). One
+    number and not a struct, because Spark aggregates fixed-width values by hash and structs by sorting.
+    The parts take 2, 60, 1 and twice 31 bits.
+    """
+    table = F.col("table_idx").cast("bigint")
+    fits = (table >= 0) & (table < F.lit(1 << 60)) & F.col("flavor_rank").between(0, 3)
+    high = F.when(fits, F.shiftleft(F.col("flavor_rank").cast("bigint"), 60) + table).otherwise(
+        F.raise_error(F.lit("table_idx or flavor_rank out of range")).cast("bigint")
+    )
+    col = F.col("col_idx").cast("bigint")
+    place = F.shiftleft(F.col("row_idx").cast("bigint"), 31) + col
+    low = F.when(F.col("kind") == 0, F.shiftleft(col, 31)).otherwise(F.lit(1 << 62) + place)
+    return (high.cast("decimal(19,0)") * F.lit(Decimal(1 << 63)) + low.cast("decimal(19,0)")).cast(
+        "decimal(38,0)"
+    )
+
+
 def header_hits(cells: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Every filled cell under a header that contains a term."""
     return _candidates(cells, lookup_terms(terms), [0]).select(
@@ -115,7 +129,8 @@ def table_lookup(cells: DataFrame, terms: Sequence[str], known: DataFrame | None
     """
     found = _candidates(cells, lookup_terms(terms), [0, 1])
     if dedupe:
-        found = found.join(unique_tables(cells), TABLE_KEY, "left_semi")
+        # Not a semi join: that would be pushed below the search and shuffle every cell.
+        found = found.join(unique_tables(cells), TABLE_KEY)
     if known is not None:
         seen = known.select(
             F.col("page_id").alias("k_page"), F.lower("key").alias("k_key"),
@@ -127,20 +142,11 @@ def table_lookup(cells: DataFrame, terms: Sequence[str], known: DataFrame | None
             & (F.col("cell") == F.col("k_value")) & (F.col("k_pos") <= F.col("term_pos")),
             "left_anti",
         )
-    place = F.struct("flavor_rank", "table_idx", "kind", "col")
-    # First distinct values with their earliest place, then the best place per page and term.
-    values = found.groupBy("page_id", "term_pos", "term", place.alias("place"), "cell").agg(
-        F.min(F.struct("row_idx", "col_idx")).alias("at")
-    )
-    best = values.groupBy("page_id", "term_pos").agg(
-        F.min(F.struct("place", "at")).alias("best")
-    ).select(F.col("page_id").alias("b_page"), F.col("term_pos").alias("b_pos"), "best")
-    chosen = (
-        (F.col("page_id") == F.col("b_page")) & (F.col("term_pos") == F.col("b_pos"))
-        & (F.col("place") == F.col("best.place"))
-        & ((F.col("place.kind") == 0) | (F.col("at") == F.col("best.at")))
-    )
-    return values.join(best, chosen).select("page_id", "term_pos", "term", F.col("cell").alias("value"))
+    ranked = found.select("page_id", "term_pos", "term", _rank().alias("rank"), "cell")
+    best = ranked.groupBy("page_id", "term_pos").agg(F.min("rank").alias("rank"))
+    return ranked.join(best, ["page_id", "term_pos", "rank"]).select(
+        "page_id", "term_pos", "term", F.col("cell").alias("value")
+    ).distinct()
 
 
 # -- lookup inside the row --------------------------------------------------------------------------

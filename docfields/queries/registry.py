@@ -15,7 +15,7 @@ from docfields.operators.extract import extract, missed_pairs, text_hits
 from docfields.operators.rollup import rollup, rollup_both
 from docfields.queries import forms as fm
 from docfields.queries import sql
-from docfields.queries.forms import read
+from docfields.queries.forms import read, read_spread
 from docfields.sources.catalog import (
     explode_catalogs, extra_terms_column, term_patterns, word_pattern_column,
 )
@@ -86,13 +86,13 @@ def no_text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("text_clean", f"select doc_id, {sql.strip('lower(text)')} as text from documents")
 def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    return read_spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 @query("text_normalize", f"""select doc_id,
   regexp_replace({sql.strip('lower(text)')}, '\\s+', ' ', 'g') as text from documents""")
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", normalize_text(F.col("text")).alias("text"))
+    return read_spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", normalize_text(F.col("text")).alias("text"))
 
 
 _RAW_NUMBER = """case l_linenumber
@@ -113,7 +113,8 @@ select {', '.join(_LINE_KEY)}, {sql.number('plain', MONEY)} as num,
        case when {sql.number('plain', MONEY)} is null then plain end as str from plain""")
 def normalize_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.expr(_RAW_NUMBER.format(str="string"))
-    parts = read(spark, sf_dir, "lineitem").select(*_LINE_KEY, raw.alias("raw"))
+    lines = read_spread(spark, sf_dir, "lineitem", *_LINE_KEY, "l_extendedprice", "l_returnflag", "l_linestatus")
+    parts = lines.select(*_LINE_KEY, raw.alias("raw"))
     return parts.select(
         *_LINE_KEY, normalize_number(F.col("raw"), number_type=MONEY).alias("n")
     ).select(*_LINE_KEY, "n.*")
@@ -405,7 +406,7 @@ def table_cells_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, cast(row_idx as integer) as row_idx, {sql.NORM_HEADER} as header,
        lower({sql.strip("regexp_replace(cell, '\\s+', ' ', 'g')")}) as cell from raw""")
 def table_cell_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "documents").select(
+    lines = read_spread(spark, sf_dir, "documents", "doc_id", "lang", "text").select(
         "doc_id", F.concat(F.lit(" "), F.upper("lang")).alias("header"),
         F.posexplode(F.split("text", "\n")).alias("row_idx", "line"),
     )
@@ -414,14 +415,13 @@ def table_cell_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
                         normalize_cell(cell).alias("cell"))
 
 
-def _hash_sum(part: int) -> str:
-    place = f"concat(row_idx, chr(1), col_idx, chr(1), {sql.NORM_HEADER}, chr(1), {sql.NORM_CELL})"
-    return f"cast(sum(cast('0x' || substr(md5({place}), {1 + 15 * part}, 15) as bigint)) as varchar)"
+_PLACED = f"concat(row_idx, chr(1), col_idx, chr(1), {sql.NORM_HEADER}, chr(1), {sql.NORM_CELL})"
 
 
 @query("table_signature", f"""with {_STREAM}
 select page_id, flavor, cast(table_idx as integer) as table_idx,
-       md5(concat({_hash_sum(0)}, chr(1), {_hash_sum(1)})) as signature
+       md5(concat(cast(sum(cast('0x' || substr(md5({_PLACED}), 1, 15) as bigint)) as varchar),
+                  chr(1), count(*))) as signature
 from stream where row_idx < 8 group by page_id, flavor, table_idx""")
 def table_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = text_tables(fm.second_pages(spark, sf_dir), ["stream"])
