@@ -1,6 +1,7 @@
 """Regular expressions: from the catalogue's Python dialect to the one Spark evaluates (Java)."""
 
 import re
+import warnings
 
 from pyspark.sql import Column, functions as F
 
@@ -27,7 +28,9 @@ def to_java(pattern: str) -> str:
     no single value to take.
     """
     try:
-        groups = re.compile(pattern, re.IGNORECASE | re.DOTALL).groups
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", FutureWarning)
+            groups = re.compile(pattern, re.IGNORECASE | re.DOTALL).groups
     except re.error as exc:
         raise CatalogError(f"invalid pattern {pattern!r}: {exc}") from exc
     if groups > 1:
