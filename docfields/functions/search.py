@@ -77,21 +77,33 @@ def _needle(term: Column | str) -> tuple[Column, Column]:
     return fold(term), F.char_length(term)
 
 
+def literal_at(low: Column, term: Column | str) -> Column:
+    """Where the term first occurs in folded text, from 1; NULL if it does not.
+
+    `contains` comes first because it is several times faster than `position` in ruling a term out.
+    """
+    needle, _ = _needle(term)
+    return F.when(F.contains(low, needle), F.position(needle, low))
+
+
+def found_at(text: Column, at: Column, term: Column | str) -> Column:
+    return F.substring(text, at, _needle(term)[1])
+
+
+def snippet_at(text: Column, at: Column, term: Column | str, width: int = SNIPPET_WIDTH) -> Column:
+    rest = F.substr(text, at + _needle(term)[1])
+    return F.substring(F.ltrim(rest, F.lit(WHITESPACE + LABEL_SEPARATORS)), 1, width)
+
+
 def literal_find(text: Column, term: Column | str, low: Column | None = None) -> Column:
     """The first occurrence of `term`, ignoring case, as spelled in the text; NULL if absent."""
-    low = fold(text) if low is None else low
-    needle, length = _needle(term)
-    return F.when(F.contains(low, needle), F.substring(text, F.position(needle, low), length))
+    return found_at(text, literal_at(fold(text) if low is None else low, term), term)
 
 
 def snippet_after(text: Column, term: Column | str, width: int = SNIPPET_WIDTH,
                   low: Column | None = None) -> Column:
     """Up to `width` characters after the term and its separators, across lines; NULL if absent."""
-    low = fold(text) if low is None else low
-    needle, length = _needle(term)
-    rest = F.substr(text, F.position(needle, low) + length)
-    after = F.ltrim(rest, F.lit(WHITESPACE + LABEL_SEPARATORS))
-    return F.when(F.contains(low, needle), F.substring(after, 1, width))
+    return snippet_at(text, literal_at(fold(text) if low is None else low, term), term, width)
 
 
 def value_cascade(snippet: Column, full_numbers: bool = False) -> Column:
@@ -100,12 +112,15 @@ def value_cascade(snippet: Column, full_numbers: bool = False) -> Column:
     `full_numbers` reads `12345` whole; by default a number without separators ends after three
     digits.
     """
-    number = _FULL_NUMBER if full_numbers else NUMBER
-    return F.coalesce(
-        F.regexp_substr(snippet, F.lit(f"(?U){number}")),
-        F.regexp_substr(snippet, F.lit(NOT_AFTER_WORD + ALNUM_WORD + NOT_BEFORE_WORD)),
-        F.regexp_substr(snippet, F.lit(LETTERS)),
+    shapes = (
+        f"(?U){_FULL_NUMBER if full_numbers else NUMBER}",
+        NOT_AFTER_WORD + ALNUM_WORD + NOT_BEFORE_WORD,
+        LETTERS,
     )
+    # `regexp_substr` would match twice to tell a hit from a miss.
+    return F.coalesce(*[
+        let(F.regexp_extract(snippet, shape, 0), lambda v: F.when(v != "", v)) for shape in shapes
+    ])
 
 
 # -- both -------------------------------------------------------------------------------------------
@@ -129,15 +144,21 @@ def search_term(text: Column, term: Column | str, patterns: Patterns | None = No
     spelled = F.lit(term) if isinstance(term, str) else term
 
     def literal(h: Column) -> Column:
-        missed = h["pat"].isNull()
         target = term if isinstance(term, str) else h["term"]
+        at = F.when(h["pat"].isNull(), literal_at(h["low"], target))
+        return let(
+            F.struct(h["term"].alias("term"), h["pat"].alias("pat"), at.alias("at")),
+            lambda p: value(p, target if isinstance(term, str) else p["term"]),
+        )
+
+    def value(p: Column, target: Column | str) -> Column:
         return let(
             F.struct(
-                h["term"].alias("term"), h["pat"].alias("pat"),
-                F.when(missed, literal_find(text, target, h["low"])).alias("found"),
-                F.when(missed, snippet_after(text, target, low=h["low"])).alias("snippet"),
+                p["term"].alias("term"), p["pat"].alias("pat"),
+                found_at(text, p["at"], target).alias("found"),
+                snippet_at(text, p["at"], target).alias("snippet"),
             ),
-            lambda p: resolve(p["term"], p["pat"], p["found"], p["snippet"], full_numbers),
+            lambda q: resolve(q["term"], q["pat"], q["found"], q["snippet"], full_numbers),
         )
 
     return let(

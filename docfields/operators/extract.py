@@ -13,7 +13,7 @@ from docfields.fixed import FLAVORS
 from docfields.functions import chain as ch
 from docfields.functions.casing import fold
 from docfields.functions.search import (
-    Patterns, let, literal_find, patterns_for, resolve, snippet_after,
+    Patterns, found_at, let, literal_at, patterns_for, resolve, snippet_at,
 )
 from docfields.functions.serials import serial_first
 from docfields.functions.text import normalize_key
@@ -31,7 +31,8 @@ def _first_search(pages: DataFrame, terms: Sequence[str], patterns: Patterns | N
                   serials: bool, word_boundary: bool) -> tuple[DataFrame, Column]:
     """Pages with what the search of all terms shares, and the array with the parts of each search.
 
-    Separate projections, so that the folded text and each pattern are worked out once per page.
+    Separate projections, so that the folded text, each pattern and each place are worked out once per
+    page.
     """
     text, low = F.col("text"), F.col("_low")
     serial = (
@@ -39,17 +40,21 @@ def _first_search(pages: DataFrame, terms: Sequence[str], patterns: Patterns | N
     )
     by_pattern = F.array(*[patterns_for(t, text, patterns, word_boundary) for t in terms])
 
-    def parts(pos: int, term: str) -> Column:
-        pat = F.col("_pat")[pos]
+    at = F.array(*[
+        F.when(F.col("_pat")[i].isNull(), literal_at(low, term)) for i, term in enumerate(terms)
+    ])
+
+    def parts(i: int, term: str) -> Column:
+        here = F.col("_at")[i]
         return F.struct(
-            F.lit(pos).alias("term_pos"), F.lit(term).alias("term"), pat.alias("pat"),
-            F.when(pat.isNull(), literal_find(text, term, low)).alias("found"),
-            F.when(pat.isNull(), snippet_after(text, term, low=low)).alias("snippet"),
+            F.lit(i).alias("term_pos"), F.lit(term).alias("term"), F.col("_pat")[i].alias("pat"),
+            found_at(text, here, term).alias("found"), snippet_at(text, here, term).alias("snippet"),
         )
 
     shared = (
         pages.select("page_id", "text", fold(text).alias("_low"))
         .select("page_id", "text", "_low", serial.alias("serial"), by_pattern.alias("_pat"))
+        .select("page_id", "text", "_low", "serial", "_pat", at.alias("_at"))
     )
     return shared, F.array(*[parts(i, t) for i, t in enumerate(terms)])
 
@@ -59,26 +64,32 @@ def _follow(parts: Column, n: int, trace: bool, patterns: Patterns | None, full_
     """From the parts of each search to `term_pos, term, key, value, path`, following chains."""
     text, low = F.col("text"), F.col("_low")
 
-    def chained(h: Column) -> Column:
-        hit = resolve(h["term"], h["pat"], h["found"], h["snippet"], full_numbers)
-        hops = ch.extend(let(hit, ch.start), text, low, n, patterns, full_numbers, word_boundary)
-        return F.struct(h["term_pos"].alias("term_pos"), h["term"].alias("term"), hops.alias("chain"))
+    def found(h: Column) -> Column:
+        return resolve(h["term"], h["pat"], h["found"], h["snippet"], full_numbers)
 
-    def result(h: Column) -> Column:
-        hops = h["chain"]
-        some = F.size(hops) > 0
-        last = F.try_element_at(hops, F.lit(-1))
-        if trace:
-            key = last["term"]
-        else:
-            key = h["term"] if n else F.get(hops, F.lit(0))["term"]
+    def row(h: Column, some: Column, key: Column, value: Column, path: Column) -> Column:
         return F.struct(
             h["term_pos"].alias("term_pos"), h["term"].alias("term"),
-            F.when(some, normalize_key(key)).alias("key"), F.when(some, last["value"]).alias("value"),
-            (ch.chain_path(hops) if trace else _no_string()).alias("path"),
+            F.when(some, normalize_key(key)).alias("key"), F.when(some, value).alias("value"),
+            path.alias("path"),
         )
 
-    return F.transform(F.transform(parts, chained), result)
+    def single(h: Column) -> Column:
+        return let(found(h), lambda hit: row(
+            h, (hit["key"] != "") & (hit["value"] != ""), h["term"] if n else hit["key"], hit["value"],
+            _no_string(),
+        ))
+
+    def chained(h: Column) -> Column:
+        hops = ch.extend(let(found(h), ch.start), text, low, n, patterns, full_numbers, word_boundary)
+        return let(hops, lambda hops: followed(h, hops))
+
+    def followed(h: Column, hops: Column) -> Column:
+        last = F.try_element_at(hops, F.lit(-1))
+        return row(h, F.size(hops) > 0, last["term"] if trace else h["term"] if n else hops[0]["term"],
+                   last["value"], ch.chain_path(hops) if trace else _no_string())
+
+    return F.transform(parts, chained if n >= 2 or trace else single)
 
 
 def text_hits(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None = None, *, n: int = 0,
