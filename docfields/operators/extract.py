@@ -157,6 +157,36 @@ def _with_tables_in_text(pages: DataFrame, terms: Sequence[str], patterns: Patte
     return df.select("page_id", "serial", F.inline(F.flatten(F.transform("_hits", rows))))
 
 
+def _filled_from(hits: DataFrame, tables: DataFrame) -> DataFrame:
+    """`hits`, with the table values of a page and term in place of each miss.
+
+    One join, so the text is searched once. It is an inner join, in which Spark can split a skewed
+    partition on either side; an outer one could not split many values of one page and term. For that a
+    hit needs something to join: it takes one of a fixed number of keys that no page and term has, each
+    with one empty row on the other side.
+    """
+    keys = 1024
+    missed = F.col("value").isNull()
+    kept = -1 - F.pmod(F.xxhash64("page_id", "term_pos"), F.lit(keys)).cast("int")
+    left = hits.select(
+        "page_id", "serial", "key", "value", "path",
+        F.when(missed, F.col("page_id")).otherwise("").alias("_page"),
+        F.when(missed, F.col("term_pos")).otherwise(kept).alias("_pos"),
+    )
+    right = tables.select(
+        F.col("page_id").alias("_page"), F.col("term_pos").alias("_pos"),
+        F.col("term").alias("_key"), F.col("value").alias("_value"),
+    )
+    empty = hits.sparkSession.range(keys).select(
+        F.lit("").alias("_page"), (-1 - F.col("id")).cast("int").alias("_pos"),
+        _no_string().alias("_key"), _no_string().alias("_value"),
+    )
+    return left.join(right.unionByName(empty), ["_page", "_pos"]).select(
+        "page_id", "serial", F.coalesce("key", "_key").alias("key"),
+        F.coalesce("value", "_value").alias("value"), "path",
+    )
+
+
 def extract(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None = None, *, n: int = 0,
             trace: bool = False, serials: bool = False, cells: DataFrame | None = None,
             flavors: Sequence[str] = FLAVORS, full_numbers: bool = False,
@@ -179,21 +209,7 @@ def extract(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None =
     if cells is None:
         return _results(hits.where(F.col("value").isNotNull()))
     if not trace:
-        # One outer join does the fallback: a hit joins nothing and stays as it is, a miss takes its
-        # table values. The text is searched once.
-        tables = table_lookup(cells, terms).select(
-            F.col("page_id").alias("t_page"), F.col("term_pos").alias("t_pos"),
-            F.col("term").alias("t_key"), F.col("value").alias("t_value"),
-        )
-        joined = hits.join(
-            tables,
-            (F.col("page_id") == F.col("t_page")) & (F.col("term_pos") == F.col("t_pos"))
-            & F.col("value").isNull(),
-            "left",
-        )
-        merged = joined.select("page_id", "serial", F.coalesce("key", "t_key").alias("key"),
-                               F.coalesce("value", "t_value").alias("value"), "path")
-        return _results(merged.where(F.col("value").isNotNull()))
+        return _results(_filled_from(hits, table_lookup(cells, terms)))
     # With a trace the text hits are needed three times: as results, as the values already recorded
     # and for the serials. They hold no text, so they are written once.
     hits = materialize(hits)

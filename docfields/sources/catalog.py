@@ -137,11 +137,11 @@ def explode_catalogs(df: DataFrame, json_column: str = "json") -> DataFrame:
     )
 
 
-def term_patterns(terms: DataFrame, catalog: DataFrame, small_catalog: bool = False) -> DataFrame:
+def term_patterns(terms: DataFrame, catalog: DataFrame) -> DataFrame:
     """Each row of `terms(term, …)` with the patterns of its field; NULL pattern without a field.
 
-    `catalog(field, pattern_pos, regex)` is broadcast only if the caller knows that it is small.
+    No broadcast hint: Spark broadcasts `catalog(field, pattern_pos, regex)` if it measures it as small.
     """
-    side = catalog.select(F.col("field"), "pattern_pos", "regex")
-    side = F.broadcast(side) if small_catalog else side
-    return terms.join(side, F.lower("term") == F.col("field"), "left")
+    return terms.join(
+        catalog.select("field", "pattern_pos", "regex"), F.lower("term") == F.col("field"), "left"
+    )

@@ -71,6 +71,5 @@ def test_catalogue_columns(each):
 def test_terms_with_their_patterns(spark):
     catalog = spark.createDataFrame([("a", 0, "p"), ("a", 1, "q")], "field string, pattern_pos int, regex string")
     terms = spark.createDataFrame([("A",), ("b",)], "term string")
-    for small in (False, True):
-        rows = term_patterns(terms, catalog, small).select("term", "regex").collect()
-        assert sorted(map(tuple, rows), key=str) == [("A", "p"), ("A", "q"), ("b", None)]
+    rows = term_patterns(terms, catalog).select("term", "regex").collect()
+    assert sorted(map(tuple, rows), key=str) == [("A", "p"), ("A", "q"), ("b", None)]
