@@ -70,17 +70,22 @@ def dedupe_tables(cells: DataFrame, sample_rows: int = SIGNATURE_ROWS) -> DataFr
 # -- lookup over cells ------------------------------------------------------------------------------
 
 def _candidates(cells: DataFrame, terms: Sequence[tuple[int, str]], kinds: Sequence[int]) -> DataFrame:
-    """One row per cell, term and kind; narrow, and most cells give none."""
-    filled = F.col("cell").isNotNull() & (F.col("cell") != "")
-    searched = {0: F.lower("header"), 1: F.lower("cell")}
+    """One row per cell, term and kind; narrow, and most cells give none.
+
+    The options are exploded first and the empty ones dropped after, all in generated code.
+    """
     options = [
-        F.when(filled & F.contains(searched[kind], F.lit(term)),
+        F.when(F.contains(F.col(searched), F.lit(term)),
                F.struct(F.lit(pos).alias("term_pos"), F.lit(term).alias("term"), F.lit(kind).alias("kind")))
-        for pos, term in terms for kind in kinds
+        for pos, term in terms
+        for kind, searched in enumerate(("_header", "_cell")) if kind in kinds
     ]
-    return cells.select(
-        *TABLE_KEY, "row_idx", "col_idx", "cell", F.inline(F.array_compact(F.array(*options)))
-    )
+    filled = cells.where(F.col("cell").isNotNull() & (F.col("cell") != ""))
+    lowered = filled.select(*TABLE_KEY, "row_idx", "col_idx", "cell", F.lower("header").alias("_header"),
+                            F.lower("cell").alias("_cell"))
+    return lowered.select(
+        *TABLE_KEY, "row_idx", "col_idx", "cell", F.inline(F.array(*options))
+    ).where(F.col("term_pos").isNotNull())
 
 
 def _rank() -> Column:
@@ -98,9 +103,9 @@ def _rank() -> Column:
     col = F.col("col_idx").cast("bigint")
     place = F.shiftleft(F.col("row_idx").cast("bigint"), 31) + col
     low = F.when(F.col("kind") == 0, F.shiftleft(col, 31)).otherwise(F.lit(1 << 62) + place)
-    return (high.cast("decimal(19,0)") * F.lit(Decimal(1 << 63)) + low.cast("decimal(19,0)")).cast(
-        "decimal(38,0)"
-    )
+    both = high.cast("decimal(19,0)") * F.lit(Decimal(1 << 63)) + low.cast("decimal(19,0)")
+    # Never NULL; saying so keeps the joins from checking it once more.
+    return F.coalesce(both.cast("decimal(38,0)"), F.lit(Decimal(0)).cast("decimal(38,0)"))
 
 
 def header_hits(cells: DataFrame, terms: Sequence[str]) -> DataFrame:

@@ -99,8 +99,8 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line item as a table with one row on page 1 of its order's form."""
-    headers = {"Cantidad": "cast(cast(l_quantity as decimal(18,0)) as string)",
-               "Descuento": "cast(cast(l_discount as decimal(18,2)) as string)",
+    headers = {"Cantidad": "cast(cast(l_quantity as int) as string)",
+               "Descuento": "concat('0.', lpad(cast(cast(round(l_discount * 100) as int) as string), 2, '0'))",
                "Devuelto": "case when l_returnflag = 'N' then '' else l_returnflag end",
                "Linea estado": "concat('estado ', l_linestatus)"}
     columns = F.array(*[
@@ -142,8 +142,8 @@ ORDER_CELLS = """cells as (
          l_partkey * 8 + l_linenumber as table_idx, 0 as row_idx,
          unnest([0, 1, 2, 3]) as col_idx,
          unnest(['Cantidad', 'Descuento', 'Devuelto', 'Linea estado']) as header,
-         unnest([cast(cast(l_quantity as decimal(18,0)) as varchar),
-                 cast(cast(l_discount as decimal(18,2)) as varchar),
+         unnest([cast(cast(l_quantity as integer) as varchar),
+                 concat('0.', lpad(cast(cast(round(l_discount * 100) as integer) as varchar), 2, '0')),
                  case when l_returnflag = 'N' then '' else l_returnflag end,
                  concat('estado ', l_linestatus)]) as cell
   from lineitem)"""
