@@ -39,7 +39,7 @@ MARK = "▁"
 UNIT = re.compile(rf"\n|{MARK}| +[^ \n{MARK}]*|[^ \n{MARK}]+")
 ALPHA = 1.0
 # Lattice nodes a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 # Texts whose lattices are searched together, and their characters at most (one longer text goes alone).
 TEXTS = 500
 CHARACTERS = 2_000_000
@@ -306,10 +306,10 @@ class Found:
 
     `edge` holds all steps of all texts, text by text, `ends` where each begins; `units` the steps of each
     unit. Sets are looked at for the first `HEAD` steps of a text. A set at a later step cannot be higher than its
-    shared path's log-probability plus `HIGHEST`; where that might be the best, all steps are looked at.
+    shared path's log-probability plus `HIGHEST`; where that might be the best, more steps are looked at.
     """
 
-    HEAD = 64
+    HEAD = 48
 
     def __init__(self, edge, ends, unit_ends, value, turn, begin, taken, keys, lattices):
         self.edge, self.ends, self.unit_ends = edge, ends, unit_ends
@@ -364,7 +364,7 @@ class Found:
             self.step[self.text[hit]] = hit - self.low[self.text[hit]]
         if (self.top < self.bound).any():
             head = np.diff(self.low)
-            self.open_sets(np.where(self.top < self.bound, np.diff(self.ends), head))
+            self.open_sets(np.where(self.top < self.bound, np.minimum(np.diff(self.ends), 4 * head), head))
 
     def close(self, i: int, step: int) -> None:
         self.gone.append((i, step))
