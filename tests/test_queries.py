@@ -4,7 +4,8 @@ from pathlib import Path
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from docfields.queries.registry import ORACLE, QUERIES
 from tests.compare import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -17,12 +18,12 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    ours, theirs, left, right, _ = difference(spark, duck, queries()[name], oracle_sql()[name], SF_DIR)
+    ours, theirs, left, right, _ = difference(spark, duck, QUERIES[name], ORACLE[name], SF_DIR)
     assert ours == theirs > 0 and not left and not right
 
 
