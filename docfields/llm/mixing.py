@@ -52,11 +52,10 @@ def rates(docs: DataFrame, source_column: str, weights: Mapping[str, float] | No
         given = docs.sparkSession.createDataFrame(list(weights.items()), "source string, weight double")
         weighted = counts.join(given, "source")
     weighted = written(weighted)
-    total = weighted.agg(F.sum("n").alias("all_rows"), F.sum("weight").alias("all_weights"))
-    target = F.col("all_rows") if rows is None else F.lit(rows)
-    rate = target * F.col("weight") / F.col("all_weights") / F.col("n")
-    # The totals are one row.
-    found = weighted.join(F.broadcast(total), F.lit(True)).where("weight > 0").select("source", rate.alias("rate"))
+    total = weighted.agg(F.sum("n").alias("rows"), F.sum("weight").alias("weights")).first()
+    target = F.lit(total["rows"] if rows is None else rows)
+    rate = target * F.col("weight") / F.lit(total["weights"]) / F.col("n")
+    found = weighted.where("weight > 0").select("source", rate.alias("rate"))
     return written(found.withColumn("sums", distribution(F.col("rate"))))
 
 
