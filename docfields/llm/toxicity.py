@@ -362,7 +362,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     share = F.when(F.col("label") == 1, shares[1]).otherwise(shares[0])
     chance = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    sample = texts.join(marked.where(chance < share), "id").collect()
+    # The sample's ids are bounded by `per_class`, so they go to the texts.
+    sample = texts.join(F.broadcast(marked.where(chance < share)), "id").collect()
     sample.sort(key=lambda r: (r["id"], r["text"] or ""))
     return trained([r["text"] for r in sample], [r["label"] for r in sample], math.log(shares[0] / shares[1]))
 
