@@ -39,10 +39,10 @@ MARK = "▁"
 UNIT = re.compile(rf"\n|{MARK}| +[^ \n{MARK}]*|[^ \n{MARK}]+")
 ALPHA = 1.0
 # Lattice nodes a worker remembers before it starts afresh.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 # Texts whose lattices are searched together, and their characters at most (one longer text goes alone).
-TEXTS = 500
-CHARACTERS = 2_000_000
+TEXTS = 300
+CHARACTERS = 1_000_000
 
 
 @cache
