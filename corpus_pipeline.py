@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from docfields.llm import language, mixing, pieces, secrets, simhash
 from docfields.llm.common import remainder, written
 
-# A document whose best language is less probable than all others together is rejected.
-LEAST_SCORE = 0.5
+# A document whose best language is less probable than this is rejected.
+LEAST_SCORE = 0.4
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
