@@ -36,7 +36,7 @@ DATE = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2}"
 # Text that counts as a number once spaces and commas are dealt with.
 NUMERIC = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
 
-# Rows of a table that enter its signature.
+# Rows of a table that enter its signature where only a sample of it is compared (by default all do).
 SIGNATURE_ROWS = 8
 
 # Table layouts, in the order in which a lookup tries them.

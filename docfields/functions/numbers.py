@@ -26,10 +26,11 @@ def plain_number(value: Column, locale: str | None = None) -> Column:
 def number_or_null(plain: Column, number_type: str = "double") -> Column:
     """The cleaned string as a number, NULL if it is none.
 
-    The pattern is needed because casts accept `5d`, `nan` and the like.
+    The pattern is needed because casts accept `5d`, `nan` and the like. A number too large for its type is none.
     """
     trimmed = strip(plain)
-    return F.when(trimmed.rlike(f"^(?:{NUMERIC})$"), trimmed.try_cast(number_type))
+    number = F.when(trimmed.rlike(f"^(?:{NUMERIC})$"), trimmed.try_cast(number_type))
+    return F.when(F.abs(number.cast("double")) < F.lit(float("inf")), number)
 
 
 def normalize_number(value: Column, locale: str | None = None, number_type: str = "double") -> Column:

@@ -119,7 +119,7 @@ def _results(rows: DataFrame) -> DataFrame:
 
 def _with_tables_in_text(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None, n: int,
                          trace: bool, serials: bool, flavors: Sequence[str], full_numbers: bool,
-                         word_boundary: bool) -> DataFrame:
+                         word_boundary: bool, sample_rows: int | None) -> DataFrame:
     df, parts = _first_search(pages, terms, patterns, serials, word_boundary)
     df = df.withColumn("_hits", _follow(parts, n, trace, patterns, full_numbers, word_boundary))
     looked_up = [pos for pos, _ in lookup_terms(terms)]
@@ -151,7 +151,7 @@ def _with_tables_in_text(pages: DataFrame, terms: Sequence[str], patterns: Patte
         )
         return F.concat(F.filter(F.array(from_text), lambda r: r["value"].isNotNull()), from_tables)
 
-    tables = page_tables(F.col("text"), flavors)
+    tables = page_tables(F.col("text"), flavors, sample_rows=sample_rows)
     empty = F.filter(tables, lambda _: F.lit(False))
     df = df.withColumn("_tables", F.when(F.exists("_hits", eligible), tables).otherwise(empty))
     return df.select("page_id", "serial", F.inline(F.flatten(F.transform("_hits", rows))))
@@ -190,12 +190,13 @@ def _filled_from(hits: DataFrame, tables: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None = None, *, n: int = 0,
             trace: bool = False, serials: bool = False, cells: DataFrame | None = None,
             flavors: Sequence[str] = FLAVORS, full_numbers: bool = False,
-            word_boundary: bool = False) -> DataFrame:
+            word_boundary: bool = False, sample_rows: int | None = None) -> DataFrame:
     """Extract the terms from `pages(page_id, text)` as `image, serial, key, value, path`.
 
     A term without a value in the text is looked up in the page's tables: in `cells` if given, else
     in the tables laid out in the text (`flavors=()` leaves tables out). With `trace` each row shows
     the path of its chain, the key is the last hop's term, and tables are searched after a text hit too.
+    Tables of a page that are equal, or equal in their first `sample_rows` rows, count once.
     """
     options = dict(n=n, trace=trace, serials=serials, full_numbers=full_numbers,
                    word_boundary=word_boundary)
@@ -204,19 +205,19 @@ def extract(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None =
         return pages.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in RESULT_COLUMNS))
     if cells is None and flavors:
         return _results(_with_tables_in_text(pages, terms, patterns, n, trace, serials, flavors,
-                                             full_numbers, word_boundary))
+                                             full_numbers, word_boundary, sample_rows))
     hits = text_hits(pages, terms, patterns, **options)
     if cells is None:
         return _results(hits.where(F.col("value").isNotNull()))
     if not trace:
-        return _results(_filled_from(hits, table_lookup(cells, terms)))
+        return _results(_filled_from(hits, table_lookup(cells, terms, sample_rows=sample_rows)))
     # With a trace the text hits are needed three times: as results, as the values already recorded
     # and for the serials. They hold no text, so they are written once.
     hits = materialize(hits)
     recorded = hits.where(F.col("value").isNotNull())
     serial = hits.where(F.col("term_pos") == 0).select(F.col("page_id").alias("s_page"), "serial")
     from_tables = (
-        table_lookup(cells, terms, recorded)
+        table_lookup(cells, terms, recorded, sample_rows=sample_rows)
         .join(serial, F.col("page_id") == F.col("s_page"))
         .select("page_id", "serial", F.col("term").alias("key"), "value")
     )

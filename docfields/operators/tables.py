@@ -15,7 +15,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docfields.fixed import FLAVORS, SIGNATURE_ROWS
+from docfields.fixed import FLAVORS
 from docfields.functions.search import let
 from docfields.functions.text import normalize_cell, normalize_header
 from docfields.sources.text_tables import flavor_rank, tables_in
@@ -33,8 +33,8 @@ def lookup_terms(terms: Sequence[str]) -> list[tuple[int, str]]:
 
 # -- signatures and duplicates ----------------------------------------------------------------------
 
-def table_signatures(cells: DataFrame, sample_rows: int = SIGNATURE_ROWS) -> DataFrame:
-    """One signature per table over its headers and first rows.
+def table_signatures(cells: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """One signature per table over its headers and rows, or its first `sample_rows` rows.
 
     Each cell with its place and header has an MD5, and the signature is the MD5 of the sum of 60 bits
     of each and of the number of cells. A sum does not depend on order and combines before the shuffle,
@@ -44,15 +44,15 @@ def table_signatures(cells: DataFrame, sample_rows: int = SIGNATURE_ROWS) -> Dat
                        normalize_cell(F.col("cell")))
     bits = F.conv(F.substring(F.md5(cell.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
     told = F.concat_ws("\u0001", F.sum("_bits").cast("string"), F.count("_bits").cast("string"))
+    signed = cells if sample_rows is None else cells.where(F.col("row_idx") < sample_rows)
     return (
-        cells.where(F.col("row_idx") < sample_rows)
-        .select(*TABLE_KEY, bits.alias("_bits"))
+        signed.select(*TABLE_KEY, bits.alias("_bits"))
         .groupBy(*TABLE_KEY)
         .agg(F.md5(told.cast("binary")).alias("signature"))
     )
 
 
-def unique_tables(cells: DataFrame, sample_rows: int = SIGNATURE_ROWS) -> DataFrame:
+def unique_tables(cells: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """The first table of each signature per page and layout (keys only)."""
     return (
         table_signatures(cells, sample_rows)
@@ -62,7 +62,7 @@ def unique_tables(cells: DataFrame, sample_rows: int = SIGNATURE_ROWS) -> DataFr
     )
 
 
-def dedupe_tables(cells: DataFrame, sample_rows: int = SIGNATURE_ROWS) -> DataFrame:
+def dedupe_tables(cells: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """Drop tables that repeat an earlier one of the same page and layout."""
     return cells.join(unique_tables(cells, sample_rows), TABLE_KEY, "left_semi")
 
@@ -126,7 +126,7 @@ def cell_hits(cells: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 
 def table_lookup(cells: DataFrame, terms: Sequence[str], known: DataFrame | None = None,
-                 dedupe: bool = True) -> DataFrame:
+                 dedupe: bool = True, sample_rows: int | None = None) -> DataFrame:
     """Look terms up in tables: `page_id, term_pos, term, value`, values distinct per page and term.
 
     `known(page_id, term_pos, key, value)` holds values already recorded; a candidate is passed over
@@ -135,7 +135,7 @@ def table_lookup(cells: DataFrame, terms: Sequence[str], known: DataFrame | None
     found = _candidates(cells, lookup_terms(terms), [0, 1])
     if dedupe:
         # Not a semi join: that would be pushed below the search and shuffle every cell.
-        found = found.join(unique_tables(cells), TABLE_KEY)
+        found = found.join(unique_tables(cells, sample_rows), TABLE_KEY)
     if known is not None:
         seen = known.select(
             F.col("page_id").alias("k_page"), F.lower("key").alias("k_key"),
@@ -156,16 +156,16 @@ def table_lookup(cells: DataFrame, terms: Sequence[str], known: DataFrame | None
 
 # -- lookup inside the row --------------------------------------------------------------------------
 
-def _row_signature(table: Column, sample_rows: int) -> Column:
+def _row_signature(table: Column, sample_rows: int | None) -> Column:
     names = F.array_join(F.transform(table["header"], normalize_header), "\u0001")
     rows = F.transform(
-        F.slice(table["rows"], 1, sample_rows),
+        table["rows"] if sample_rows is None else F.slice(table["rows"], 1, sample_rows),
         lambda row: F.array_join(F.transform(row, normalize_cell), "\u0001"),
     )
     return F.md5(F.concat(names, F.lit("\u0002"), F.array_join(rows, "\u0002")).cast("binary"))
 
 
-def unique_in_row(tables: Column, sample_rows: int = SIGNATURE_ROWS) -> Column:
+def unique_in_row(tables: Column, sample_rows: int | None = None) -> Column:
     """`tables_in` without tables that repeat an earlier one."""
     signatures = F.transform(tables, lambda t: _row_signature(t, sample_rows))
     return F.when(F.size(tables) < 2, tables).otherwise(let(
@@ -176,10 +176,11 @@ def unique_in_row(tables: Column, sample_rows: int = SIGNATURE_ROWS) -> Column:
     ))
 
 
-def page_tables(text: Column, flavors: Sequence[str] = FLAVORS, header: bool = True) -> Column:
+def page_tables(text: Column, flavors: Sequence[str] = FLAVORS, header: bool = True,
+                sample_rows: int | None = None) -> Column:
     """All tables of a page without duplicates, in lookup order."""
     ordered = sorted(flavors, key=flavor_rank)
-    return F.concat(*[unique_in_row(tables_in(text, f, header)) for f in ordered])
+    return F.concat(*[unique_in_row(tables_in(text, f, header), sample_rows) for f in ordered])
 
 
 def lookup_in_row(tables: Column, term: Column, known: Column) -> Column:

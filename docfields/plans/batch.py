@@ -1,9 +1,10 @@
 """The whole job: folder → pages → extraction → roll-up → datasets."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docfields.fixed import FLAVORS
 from docfields.operators.extract import extract
 from docfields.sources.catalog import (
     Catalog, check_doc_type, default_catalog, load_catalog, normalize_catalog, select_terms,
@@ -22,11 +23,13 @@ def read_pages(spark: SparkSession, path: str,
     return distinct_pages(pages) if names_may_clash(files) else pages
 
 
-def run(spark: SparkSession, path: str, doc_type: str, out: str, catalog: Catalog | str | None = None,
+def run(spark: SparkSession, path: str | DataFrame, doc_type: str, out: str, catalog: Catalog | str | None = None,
         *,
         extra_terms: str | None = None, n: int = 0, trace: bool = False, serials: bool = False,
-        recognise: Callable[[bytes], str | None] | None = None, format: str = "parquet") -> bool:
-    """Extract one document type from a folder and write the result datasets below `out`.
+        recognise: Callable[[bytes], str | None] | None = None, format: str = "parquet",
+        full_numbers: bool = False, word_boundary: bool = False, flavors: Sequence[str] = FLAVORS,
+        cells: DataFrame | None = None, sample_rows: int | None = None) -> bool:
+    """Extract one document type from a folder, or a DataFrame `pages(page_id, text)`, and write the result datasets below `out`.
 
     `catalog` is a catalogue, the path of one, or None for the one in the package. Returns whether
     anything was found and written.
@@ -39,6 +42,8 @@ def run(spark: SparkSession, path: str, doc_type: str, out: str, catalog: Catalo
         loaded = normalize_catalog(catalog)
     check_doc_type(loaded, doc_type)
     terms = select_terms(loaded, doc_type, extra_terms)
-    pages = read_pages(spark, path, recognise)
-    results = extract(pages, terms, loaded[doc_type], n=n, trace=trace, serials=serials)
+    pages = path if isinstance(path, DataFrame) else read_pages(spark, path, recognise)
+    results = extract(pages, terms, loaded[doc_type], n=n, trace=trace, serials=serials,
+                      full_numbers=full_numbers, word_boundary=word_boundary, flavors=flavors, cells=cells,
+                      sample_rows=sample_rows)
     return write_results(results, out, format)

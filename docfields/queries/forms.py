@@ -82,14 +82,6 @@ def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_pages(forms(spark, sf_dir).select("doc_id", stem.alias("stem"), "text"))
 
 
-def first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return form_pages(spark, sf_dir).where("page_no = 1")
-
-
-def second_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return form_pages(spark, sf_dir).where("page_no = 2")
-
-
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given documents as pages: `page_id, text`."""
     return read_spread(spark, sf_dir, "documents", "doc_id", "text").select(
@@ -129,9 +121,7 @@ FORM_PAGES = f"""{FORMS},
 form_pages as (
   select doc_id, concat('form_', doc_id, '_page_', page_no, '.png') as page_id, page_no,
          string_split(text, chr(12))[page_no] as text
-  from (select doc_id, text, unnest(range(1, len(string_split(text, chr(12))) + 1)) as page_no from forms)),
-first_pages as (select * from form_pages where page_no = 1),
-second_pages as (select * from form_pages where page_no = 2)"""
+  from (select doc_id, text, unnest(range(1, len(string_split(text, chr(12))) + 1)) as page_no from forms))"""
 
 NOTICES = "notices as (select concat('doc_', doc_id) as page_id, text from documents)"
 

@@ -31,10 +31,10 @@ MONEY = "decimal(18,2)"
 TOTAL = "decimal(38,2)"
 
 PATTERNS = {
-    "factura": [r"factura[:\s-]*([A-Z0-9\-/]+)"],
-    "fecha": [r"emitida[:\s-]*(\d{4})", r"fecha[:\s-]*(\d{1,2}/\d{1,2}/\d{2,4})"],
-    "cliente": [r"cliente[:\s-]*([^\n]+)"],
-    "total": [r"total(?: a pagar)?[:\s-]*([0-9.,]+)"],
+    "factura": [r"\bfactura: (F-\d+)"],
+    "fecha": [r"emitida el (\d{4})", r"^fecha: (\d\d/\d\d/\d{4})", r"\bfecha: (\d\d/\d\d/\d{4})"],
+    "cliente": [r"\bcliente: *(\w+#\d+)"],
+    "total": [r"total a pagar: (\d+\.\d\d)\b", r"\btotal = (\d+)"],
 }
 TERMS = [*PATTERNS, "Prioridad", "subtotal", "vencimiento", "estado", "moneda"]
 TABLE_TERMS = ["factura", "total", "cantidad", "devuelto", "estado f", "Estado O", "descuento"]
@@ -68,12 +68,14 @@ def page_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("page_names_distinct", f"""with {fm.FORMS}
-select distinct concat('customer_', cust_id, '_page_', n, '.png') as page_id
-from (select cust_id, unnest(range(1, len(string_split(text, chr(12))) + 1)) as n from forms)""")
+select page_id, min(text) as text from (
+  select concat('customer_', cust_id, '_page_', n, '.png') as page_id, string_split(text, chr(12))[n] as text
+  from (select cust_id, text, unnest(range(1, len(string_split(text, chr(12))) + 1)) as n from forms))
+group by page_id""")
 def page_names_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.concat(F.lit("customer_"), F.col("cust_id").cast("string")).alias("stem")
     pages = explode_pages(fm.forms(spark, sf_dir).select(stem, "text"))
-    return distinct_pages(pages.select("page_id"))
+    return distinct_pages(pages.select("page_id", "text"))
 
 
 @query("no_text_docs", f"""with {fm.FORMS}
@@ -101,7 +103,7 @@ _RAW_NUMBER = """case l_linenumber
   when 3 then concat('1,', cast(100 + l_partkey % 900 as {str}), '.25')
   when 4 then concat('2,', cast(100 + l_partkey % 900 as {str}), ',000')
   when 5 then concat('-', cast(l_partkey as {str}))
-  when 6 then concat(cast(l_suppkey as {str}), 'd')
+  when 6 then concat('1', cast(l_suppkey as {str}), case when l_partkey % 2 = 0 then 'd' else 'e345' end)
   else concat(l_returnflag, ' ', l_linestatus, ' nan') end"""
 _LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -188,9 +190,9 @@ def term_pattern_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("field_first", f"""with {fm.FORM_PAGES}
 select page_id, {", ".join(f"{sql.field_first('text', r)} as {f}" for f, r in PATTERNS.items())}
-from first_pages""")
+from form_pages""")
 def field_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fm.first_pages(spark, sf_dir).select(
+    return fm.form_pages(spark, sf_dir).select(
         "page_id", *[se.field_first(F.col("text"), r).alias(f) for f, r in PATTERNS.items()]
     )
 
@@ -258,10 +260,10 @@ def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("date_near", f"""with {fm.FORM_PAGES}
 select page_id, {sql.date_near('text', 'FECHA')} as fecha, {sql.date_near('text', 'vencimiento')} as vencimiento,
-       {sql.date_near('text', 'cliente')} as cliente from first_pages""")
+       {sql.date_near('text', 'cliente')} as cliente from form_pages""")
 def date_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return fm.first_pages(spark, sf_dir).select(
+    return fm.form_pages(spark, sf_dir).select(
         "page_id", se.date_near(text, "FECHA").alias("fecha"),
         se.date_near(text, "vencimiento").alias("vencimiento"), se.date_near(text, "cliente").alias("cliente"),
     )
@@ -287,9 +289,9 @@ def serial_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("serial_override", f"""with {fm.FORM_PAGES}
-select page_id, {sql.serial_first('text', OVERRIDES)} as serial from first_pages""")
+select page_id, {sql.serial_first('text', OVERRIDES)} as serial from form_pages""")
 def serial_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = fm.first_pages(spark, sf_dir).select("page_id", "text", fold(F.col("text")).alias("low"))
+    folded = fm.form_pages(spark, sf_dir).select("page_id", "text", fold(F.col("text")).alias("low"))
     return folded.select("page_id", serial_first(F.col("text"), OVERRIDES, F.col("low")).alias("serial"))
 
 
@@ -306,10 +308,10 @@ def _chains(pages: DataFrame, terms: list[str], n: int, patterns: dict) -> DataF
 
 
 @query("chain_value", f"""with {fm.FORM_PAGES},
-{sql.chains('first_pages', CHAIN_TERMS, PATTERNS, 3)}
+{sql.chains('form_pages', CHAIN_TERMS, PATTERNS, 3)}
 select page_id, term_pos, initial as key, value from chains""")
 def chain_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _chains(fm.first_pages(spark, sf_dir), CHAIN_TERMS, 3, PATTERNS)
+    found = _chains(fm.form_pages(spark, sf_dir), CHAIN_TERMS, 3, PATTERNS)
     return found.select(
         "page_id", "term_pos", ch.chain_value(F.col("chain"), F.col("initial"), 3).alias("r")
     ).select("page_id", "term_pos", "r.*")
@@ -326,10 +328,10 @@ def chain_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("chain_path", f"""with {fm.FORM_PAGES},
-{sql.chains('second_pages', ['detalle', 'concepto', 'copia'], {}, 4)}
+{sql.chains('form_pages', ['detalle', 'concepto', 'copia'], {}, 4)}
 select page_id, term_pos, path from chains""")
 def chain_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _chains(fm.second_pages(spark, sf_dir), ["detalle", "concepto", "copia"], 4, {})
+    found = _chains(fm.form_pages(spark, sf_dir), ["detalle", "concepto", "copia"], 4, {})
     return found.select("page_id", "term_pos", ch.chain_path(F.col("chain")).alias("path"))
 
 
@@ -337,12 +339,12 @@ def chain_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KEPT = "key is not null and key <> '' and value is not null and value <> ''"
 _FIELDS = f"""{fm.FORM_PAGES},
-found as ({sql.searches('first_pages', TERMS, PATTERNS)}),
+found as ({sql.searches('form_pages', TERMS, PATTERNS)}),
 results as (select page_id as image, {sql.strip('lower(key)')} as key, value from found where {_KEPT})"""
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(fm.first_pages(spark, sf_dir), TERMS, PATTERNS, flavors=())
+    return extract(fm.form_pages(spark, sf_dir), TERMS, PATTERNS, flavors=())
 
 
 @query("extract_fields", f"with {_FIELDS} select image, key, value from results")
@@ -379,23 +381,23 @@ def rollup_both_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- tables -----------------------------------------------------------------------------------------
 
-_STREAM = f"{fm.FORM_PAGES},\n{sql.text_cells('second_pages', 'stream', 'stream')}"
-_LATTICE = f"{fm.FORM_PAGES},\n{sql.text_cells('second_pages', 'lattice', 'lattice')}"
+_STREAM = f"{fm.FORM_PAGES},\n{sql.text_cells('form_pages', 'stream', 'stream')}"
+_LATTICE = f"{fm.FORM_PAGES},\n{sql.text_cells('form_pages', 'lattice', 'lattice')}"
 _CELLS = "page_id, flavor, flavor_rank, cast(table_idx as integer) as table_idx, " \
          "cast(row_idx as integer) as row_idx, cast(col_idx as integer) as col_idx, header, cell"
 
 
 @query("table_cells_stream", f"with {_STREAM} select {_CELLS} from stream")
 def table_cells_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_tables(fm.second_pages(spark, sf_dir), ["stream"])
+    return text_tables(fm.form_pages(spark, sf_dir), ["stream"])
 
 
 @query("table_cells_lattice", f"""with {fm.FORM_PAGES}, {fm.NOTICES},
-both_pages as (select page_id, text from second_pages union all select page_id, text from notices),
+both_pages as (select page_id, text from form_pages union all select page_id, text from notices),
 {sql.text_cells('both_pages', 'lattice', 'lattice')}
 select {_CELLS} from lattice""")
 def table_cells_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = fm.second_pages(spark, sf_dir).select("page_id", "text").unionByName(fm.notices(spark, sf_dir))
+    pages = fm.form_pages(spark, sf_dir).select("page_id", "text").unionByName(fm.notices(spark, sf_dir))
     return text_tables(pages, ["lattice"])
 
 
@@ -422,9 +424,9 @@ _PLACED = f"concat(row_idx, chr(1), col_idx, chr(1), {sql.NORM_HEADER}, chr(1),
 select page_id, flavor, cast(table_idx as integer) as table_idx,
        md5(concat(cast(sum(cast('0x' || substr(md5({_PLACED}), 1, 15) as bigint)) as varchar),
                   chr(1), count(*))) as signature
-from stream where row_idx < 8 group by page_id, flavor, table_idx""")
+from stream group by page_id, flavor, table_idx""")
 def table_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = text_tables(fm.second_pages(spark, sf_dir), ["stream"])
+    cells = text_tables(fm.form_pages(spark, sf_dir), ["stream"])
     return tb.table_signatures(cells).select("page_id", "flavor", "table_idx", "signature")
 
 
@@ -433,12 +435,12 @@ printed as (
   select page_id, table_idx,
          string_agg(concat(row_idx, chr(1), col_idx, chr(1), {sql.NORM_HEADER}, chr(1), {sql.NORM_CELL}), chr(2)
                     order by row_idx, col_idx) as print
-  from stream where row_idx < 8 group by all),
+  from stream group by all),
 kept as (select page_id, table_idx from printed
          qualify row_number() over (partition by page_id, print order by table_idx) = 1)
 select {_CELLS} from stream join kept using (page_id, table_idx)""")
 def table_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tb.dedupe_tables(text_tables(fm.second_pages(spark, sf_dir), ["stream"])).select(
+    return tb.dedupe_tables(text_tables(fm.form_pages(spark, sf_dir), ["stream"])).select(
         "page_id", "flavor", "flavor_rank", "table_idx", "row_idx", "col_idx", "header", "cell"
     )
 
@@ -469,18 +471,18 @@ def table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MISSED = f"""{fm.FORM_PAGES},
-found as ({sql.searches('first_pages', TABLE_TERMS, PATTERNS)}),
+found as ({sql.searches('form_pages', TABLE_TERMS, PATTERNS)}),
 missed as (select page_id, term_pos, term from found where ({_KEPT}) is not true)"""
 
 
 @query("fallback_pairs", f"with {_MISSED} select page_id, term_pos, term from missed")
 def fallback_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return missed_pairs(text_hits(fm.first_pages(spark, sf_dir), TABLE_TERMS, PATTERNS))
+    return missed_pairs(text_hits(fm.form_pages(spark, sf_dir), TABLE_TERMS, PATTERNS))
 
 
 _FALLBACK = f"""{_MISSED}, {fm.ORDER_CELLS},
 {sql.lookup('cells', TABLE_TERMS, pairs='(select page_id, term_pos from missed)')},
-serials as (select page_id, {sql.serial_first('text')} as serial from first_pages),
+serials as (select page_id, {sql.serial_first('text')} as serial from form_pages),
 results as (
   select page_id as image, serial, {sql.strip('lower(key)')} as key, value
   from found join serials using (page_id) where {_KEPT}
@@ -489,7 +491,7 @@ results as (
 
 
 def _with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(fm.first_pages(spark, sf_dir), TABLE_TERMS, PATTERNS, serials=True,
+    return extract(fm.form_pages(spark, sf_dir), TABLE_TERMS, PATTERNS, serials=True,
                    cells=fm.order_cells(spark, sf_dir))
 
 
@@ -500,10 +502,10 @@ def extract_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRACED = ["Cantidad", "copia", "art3", "moneda"]
 _TRACED = f"""{fm.FORM_PAGES},
-{sql.text_cells('second_pages', 'lattice', 'lattice')},
-{sql.text_cells('second_pages', 'stream', 'stream')},
+{sql.text_cells('form_pages', 'lattice', 'lattice')},
+{sql.text_cells('form_pages', 'stream', 'stream')},
 cells as (select * from lattice union all select * from stream),
-{sql.chains('second_pages', TRACED, {}, 2)},
+{sql.chains('form_pages', TRACED, {}, 2)},
 recorded as (select page_id, term_pos, {sql.strip('lower(term)')} as key, value, path from chains),
 {sql.lookup('cells', TRACED, known='recorded')}"""
 
@@ -513,7 +515,7 @@ select page_id as image, key, value, path from recorded
 union all
 select page_id, term, value, null from lookup""")
 def extract_trace_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract(fm.second_pages(spark, sf_dir), TRACED, {}, n=2, trace=True)
+    found = extract(fm.form_pages(spark, sf_dir), TRACED, {}, n=2, trace=True)
     return found.select("image", "key", "value", "path")
 
 

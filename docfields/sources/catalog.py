@@ -15,13 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docfields.fixed import WORD_TAIL
 from docfields.functions.regex import CatalogError, escape, to_java
+from docfields.functions.whitespace import strip
 
 log = logging.getLogger(__name__)
 Catalog = dict[str, dict[str, list[str]]]
 
-MAX_CATALOG_BYTES = 16 << 20
-
-
 def word_pattern(word: str) -> str:
     """The pattern for a field that is given as a plain word."""
     return f"(?i){re.escape(word)}{WORD_TAIL}"
@@ -54,21 +52,27 @@ def normalize_catalog(raw: Mapping) -> Catalog:
 def load_catalog(spark: SparkSession, path: str) -> Catalog:
     """Read a JSON catalogue from any file system Spark can reach.
 
-    A file that cannot be read or parsed gives an empty catalogue.
+    All files of a folder or glob are one catalogue: in order of their paths, a later file's fields are
+    added to a document type, or replace those of the same name. A file that cannot be read or parsed adds nothing and is logged.
     """
     try:
-        file = spark.read.format("binaryFile").load(path).select("length", "content").where(
-            F.col("length") <= MAX_CATALOG_BYTES
-        )
-        row = file.head()
-        raw = json.loads(bytes(row["content"]).decode("utf-8")) if row else {}
-    except (PySparkException, ValueError) as exc:
+        rows = spark.read.format("binaryFile").load(path).select("path", "content").orderBy("path").collect()
+    except PySparkException as exc:
         log.error("catalogue %s could not be read: %s", path, exc)
         return {}
-    if not isinstance(raw, Mapping):
-        log.error("catalogue %s is not a mapping", path)
-        return {}
-    return normalize_catalog(raw)
+    catalog: Catalog = {}
+    for row in rows:
+        try:
+            raw = json.loads(bytes(row["content"]).decode("utf-8"))
+        except ValueError as exc:
+            log.error("catalogue %s could not be read: %s", row["path"], exc)
+            continue
+        if not isinstance(raw, Mapping):
+            log.error("catalogue %s is not a mapping", row["path"])
+            continue
+        for doc_type, fields in normalize_catalog(raw).items():
+            catalog.setdefault(doc_type, {}).update(fields)
+    return catalog
 
 
 def default_catalog() -> Catalog:
@@ -112,7 +116,7 @@ def word_pattern_column(word: Column) -> Column:
 
 def extra_terms_column(extra: Column) -> Column:
     """Comma-separated terms as an array, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(extra, ","), lambda t: F.btrim(t)), lambda term: term != "")
+    return F.filter(F.transform(F.split(extra, ","), strip), lambda term: term != "")
 
 
 def explode_catalogs(df: DataFrame, json_column: str = "json") -> DataFrame:

@@ -1,5 +1,7 @@
 """Documents to numbered pages."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docfields.functions.text import clean_text
@@ -29,7 +31,7 @@ def page_path(folder: Column | str, page_id: Column) -> Column:
 
 def split_pages(text: Column, delimiter: str = PAGE_BREAK) -> Column:
     """Pages as an array. A break at the very end closes the last page and starts no new one."""
-    parts = F.split(text, delimiter)
+    parts = F.split(text, re.escape(delimiter))
     closed = (F.size(parts) > 1) & text.endswith(delimiter)
     return F.when(closed, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
@@ -49,8 +51,12 @@ def explode_pages(df: DataFrame, text: str = "text", stem: str = "stem",
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
-    """One row per page name."""
-    return pages.dropDuplicates(["page_id"])
+    """One row per page name: the least by the other columns, in their order."""
+    rest = [c for c in pages.columns if c != "page_id"]
+    if not rest:
+        return pages.distinct()
+    least = pages.groupBy("page_id").agg(F.min(F.struct(*rest)).alias("_least"))
+    return least.select("page_id", "_least.*").select(*pages.columns)
 
 
 def pages_from_files(files: DataFrame) -> DataFrame:

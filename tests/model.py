@@ -1,41 +1,38 @@
 """Plain Python statements of the rules, for small random cases only."""
 
+import math
 import re
 
-NUM = re.compile(r"[-+]?\d{1,3}(?:[.,]\d{3})*(?:[.,]\d+)?")
-ALNUM = re.compile(r"\b[A-Za-z0-9]+\b")
-LETTERS = re.compile(r"[A-Za-z]+")
+from docfields.fixed import ALNUM_WORD, LETTERS as LETTERS_PATTERN, NUMBER, SERIAL_TAIL, SNIPPET_WIDTH
+
+SHAPES = [re.compile(p) for p in (NUMBER, rf"\b{ALNUM_WORD}\b", LETTERS_PATTERN)]
 
 
 def search(text, term, patterns):
-    for regex in patterns.get(term.lower(), []):
-        hit = re.search(regex, text, re.I | re.S)
-        if hit:
-            return term, (hit.group(1) or "").strip()
-    at = re.search(re.escape(term), text, re.I)
-    if at is None:
+    """A field's first pattern that matches decides; without one, the first shape after the literal term."""
+    tried = (re.search(regex, text, re.I | re.S) for regex in patterns.get(term.lower(), []))
+    field = next(filter(None, tried), None)
+    if field:
+        return term, (field[1] or "").strip()
+    label = re.search(re.escape(term), text, re.I)
+    if not label:
         return None, None
-    after = re.match(r"[\s:=-]*(.{0,100})", text[at.end():], re.S).group(1)
-    for shape in (NUM, ALNUM, LETTERS):
-        value = shape.search(after)
-        if value:
-            return at.group(), value.group()
-    return at.group(), None
+    near = text[label.end():].lstrip(" \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0:=-")[:SNIPPET_WIDTH]
+    values = (shape.search(near) for shape in SHAPES)
+    return label[0], next((v[0] for v in values if v), None)
 
 
 def chain(text, term, n, patterns):
-    hops = []
-    for _ in range(max(n, 1)):
-        key, value = search(text, hops[-1][1] if hops else term, patterns)
-        if not key or not value:
-            break
-        hops.append((key, value))
-    return hops
+    """Hops while both key and value are found: each looks for the value of the one before."""
+    key, value = search(text, term, patterns)
+    if not (key and value):
+        return []
+    return [(key, value)] + (chain(text, value, n - 1, patterns) if n > 1 else [])
 
 
 def serials(text, cues):
     return [
-        [m.group(1) for m in re.finditer(re.escape(cue) + r"\s*[:\-#]?\s*([A-Z0-9\-/]+)", text, re.I)]
+        [m.group(1) for m in re.finditer(re.escape(cue) + SERIAL_TAIL, text, re.I)]
         for cue in cues
     ]
 
@@ -44,7 +41,7 @@ def number(value):
     bare = value.replace(" ", "")
     bare = bare.replace(",", "") if "." in bare else bare.replace(",", ".")
     numeric = re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", bare.strip())
-    return (float(bare), None) if numeric else (None, bare)
+    return (float(bare), None) if numeric and math.isfinite(float(bare)) else (None, bare)
 
 
 def text_tables(text, flavor):
@@ -64,7 +61,7 @@ def text_tables(text, flavor):
     return found
 
 
-def without_repeats(tables, sample=8):
+def without_repeats(tables, sample=None):
     kept, seen = [], set()
     for header, rows in tables:
         tidy = tuple(tuple(" ".join(c.split()).lower() for c in row) for row in rows[:sample])

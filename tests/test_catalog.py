@@ -40,6 +40,11 @@ def test_loading(spark, tmp_path):
     assert catalog == {"a": {"año": [r"año (\d+)"]}}
     assert load_catalog(spark, str(bad)) == load_catalog(spark, str(odd)) == {}
     assert load_catalog(spark, str(tmp_path / "missing.json")) == {}
+    more = tmp_path / "more.json"
+    more.write_text(json.dumps({"a": {"largo": [r"largo (\d+)"]}, "b": [], "b c" * 6_000_000: []}))
+    assert more.stat().st_size > 16 << 20
+    merged = load_catalog(spark, str(tmp_path / "*.json"))
+    assert merged["a"] == {"año": [r"año (\d+)"], "largo": [r"largo (\d+)"]} and merged["b"] == {}
     assert [tuple(r) for r in catalog_frame(spark, catalog).collect()] == [("a", "año", 0, 0, r"año (\d+)")]
 
 

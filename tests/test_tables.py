@@ -80,12 +80,14 @@ def test_tables_equal_in_the_first_rows_count_as_one(spark):
     rows = [[str(i), " A  b"] for i in range(9)]
     other = [[str(i), "a B "] for i in range(8)] + [["8", "else"]]
     cells = cells_of(spark, {"p": [[(["N", "V"], rows), (["n ", "v"], other)], []]})
-    assert unique_tables(cells).select("table_idx").collect() == [(0,)]
-    assert dedupe_tables(cells).count() == 18
-    assert unique_tables(cells, sample_rows=9).count() == 2
+    assert unique_tables(cells, sample_rows=8).select("table_idx").collect() == [(0,)]
+    assert dedupe_tables(cells, sample_rows=8).count() == 18
+    assert unique_tables(cells).count() == 2
+    assert {r["value"] for r in table_lookup(cells, ["else"]).collect()} == {"else"}
+    assert table_lookup(cells, ["else"], sample_rows=8).count() == 0
     kept = dedupe_tables(cells)
     assert found(dedupe_tables(kept)) == found(kept)
-    assert table_signatures(cells).select("signature").distinct().count() == 1
+    assert table_signatures(cells, 8).select("signature").distinct().count() == 1
 
 
 def test_lookup_rules(spark):
