@@ -37,18 +37,29 @@ ESTIMATE_ROWS = 2048
 BLOCK = 4096
 # What a signature costs, measured in candidate pairs.
 SIGNATURE_COST = 4.0
+# Bands of least hashes that candidates of a given similarity agree in, and texts of a bucket that are compared in one piece.
+BANDS, ROWS = 20, 5
+ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+MET = 1024
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """XXH64 of every shingle of the whole text, repeats included; none for a text without words."""
     words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
     seeded = xxhash.xxh64_intdigest
-    hashes = np.fromiter((seeded(s, SEED) for s in shingles), np.uint64)
+    return np.fromiter((seeded(s, SEED) for s in shingles), np.uint64)
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for start in range(0, len(hashes), 8192):
         part = hashes[start:start + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -221,24 +232,16 @@ def links(nodes: DataFrame, plan: list[tuple[list[int], int]], distance: int = D
         for batch in batches:
             held.append(batch)
             table = pa.Table.from_batches(held)
-            last = changes(table)[-1]
+            last = changed(table, keys)[-1]
             if last:
                 yield from compared(table.slice(0, last))
             held = table.slice(last).combine_chunks().to_batches()
         if held:
             yield from compared(pa.Table.from_batches(held))
 
-    def changes(table: pa.Table) -> np.ndarray:
-        new = np.zeros(table.num_rows, bool)
-        new[:1] = True
-        for name in keys:
-            values = table.column(name).to_numpy()
-            new[1:] |= values[1:] != values[:-1]
-        return np.flatnonzero(new)
-
     def compared(table: pa.Table):
         fps = table.column("fp").to_numpy()
-        label = linked(changes(table), fps, table.column("own").to_numpy(zero_copy_only=False),
+        label = linked(changed(table, keys), fps, table.column("own").to_numpy(zero_copy_only=False),
                        table.column("side").to_numpy(), distance)
         moved = np.flatnonzero(label != np.arange(len(fps)))
         if len(moved):
@@ -271,10 +274,151 @@ def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return found.select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *,
-                distance: int = DISTANCE, width: int = WIDTH) -> DataFrame:
-    """One document of each component: the one with the smallest id. Of rows that repeat one id, one stays."""
-    kept = near_duplicates(docs, id_column, text_column, distance=distance, width=width).where(
-        F.col(id_column).eqNullSafe(F.col("component_id"))).select(id_column).distinct()
-    left = docs.alias("d").join(kept.alias("k"), F.col(f"d.{id_column}").eqNullSafe(F.col(f"k.{id_column}")), "left_semi")
-    return left
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, distance: int = DISTANCE,
+                width: int = WIDTH, similarity: float | None = None) -> DataFrame:
+    """One document of each component: the one with the smallest id. Of rows that repeat one id, one stays.
+
+    With `similarity`, texts whose sets of shingles have at least that Jaccard similarity are linked as well.
+    """
+    found = near_duplicates(docs, id_column, text_column, distance=distance, width=width)
+    if similarity is not None:
+        found = widened(found, similar(docs, id_column, text_column, width=width, similarity=similarity), id_column)
+    kept = written(found.where(F.col(id_column).eqNullSafe(F.col("component_id")))
+                   .groupBy(id_column).agg(F.count(F.lit(1)).alias("n")))
+
+    def of(ids: DataFrame) -> DataFrame:
+        return docs.alias("d").join(ids.alias("k"), F.col(f"d.{id_column}").eqNullSafe(F.col(f"k.{id_column}")), "left_semi")
+
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return of(kept)
+    return of(kept.where("n = 1")).union(of(repeated).dropDuplicates([id_column]))
+
+
+def similar(docs: DataFrame, id_column: str, text_column: str, *, width: int, similarity: float) -> DataFrame:
+    """`u, v`: ids of different texts whose shingle sets are similar enough, joined within their buckets.
+
+    No 64 bits tell such texts apart at a bearable number of candidates: at a similarity of 0.8 they differ in 10 bits
+    on average. So candidates are texts that agree in all `ROWS` least hashes of one of `BANDS` bands; a pair of
+    similarity 0.8 does with a probability of 0.9997. What meets is compared by its whole sets.
+    Buckets with the same members are looked at once. A bucket of more than `MET` texts is cut by a hash that
+    differs from band to band; its smallest id takes part in every piece, so no task and no number of pairs
+    grows with the square of a group.
+    """
+    def bands(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        held = [(i, t) for i, t in enumerate(batch.column(1).to_pylist()) if t is not None]
+        at, digests, keys = [], [], []
+        for i, text in held:
+            hashes = shingle_hashes(text, width)
+            if len(hashes):
+                at.append(i)
+                digests.append(xxhash.xxh128_digest(text.encode("utf-8", "replace")))
+                keys.append(band_keys(hashes))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(at, pa.int64())), pa.array(digests, pa.binary()),
+             pa.array(keys, pa.list_(pa.int64()))], names=["id", "text", "keys"])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    named = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    texts = written(by_batch(named, bands, f"id {kind}, text binary, keys array<long>")
+                    .groupBy("text").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("id")))
+    filed = texts.select("id", F.posexplode("keys").alias("band", "key"))
+    buckets = filed.groupBy("band", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"),
+        F.min("id").alias("pivot")).where("n > 1")
+    once = buckets.groupBy("n", "members").agg(F.min(F.struct("band", "key", "pivot")).alias("b")).select("n", "b.*")
+    pieces = F.ceil(F.col("n") / MET).cast("int")
+    met = filed.join(once, ["band", "key"]).select("id", "band", "key", F.explode(
+        F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0), pieces - 1))
+        .otherwise(F.array(F.pmod(F.xxhash64("id", "band"), pieces).cast("int")))).alias("piece"))
+    met = written(met)
+
+    def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    # Of rows that share an id, the texts with a bucket are those of `texts`; others of that id only add comparisons.
+    wanted = by_batch(named.join(met.select("id").distinct(), "id"), sets, f"id {kind}, shingles array<long>")
+    keys = ["band", "key", "piece"]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            last = changed(table, keys)[-1]
+            if last:
+                yield from compared(table.slice(0, last))
+            held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            yield from compared(pa.Table.from_batches(held))
+
+    def compared(table: pa.Table):
+        table = table.combine_chunks()
+        starts = np.append(changed(table, keys), table.num_rows)
+        lists = table.column("shingles").chunk(0)
+        flat, ends = lists.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        label = np.arange(table.num_rows)
+        for a, b in zip(starts[:-1], starts[1:]):
+            label[a:b] = a + reached([flat[ends[i]:ends[i + 1]] for i in range(a, b)], similarity)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        if len(moved):
+            ids = table.column("id")
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)).combine_chunks() for x in (moved, label[moved])],
+                                             names=["u", "v"])
+
+    dealt = met.join(wanted, "id").select(*keys, "id", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One hash per band, of the least hashes of its `ROWS` orders."""
+    hashes = np.unique(hashes)
+    least = np.array([(hashes * a + b).min() for a, b in ORDERS], np.uint64)
+    return [xxhash.xxh64_intdigest(part.tobytes(), SEED) - (1 << 63) for part in least.reshape(BANDS, ROWS)]
+
+
+def changed(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """The rows at which one of `keys` takes a new value, the first one included."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for name in keys:
+        values = table.column(name).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def reached(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each sorted set the first one that reaches it over similar ones."""
+    lengths = np.array([len(s) for s in sets])
+    label, free = np.arange(len(sets)), np.ones(len(sets), bool)
+    for root in range(len(sets)):
+        if not free[root]:
+            continue
+        free[root] = False
+        waiting = [root]
+        while waiting:
+            a = waiting.pop()
+            n = lengths[a]
+            rest = np.flatnonzero(free & (lengths >= similarity * n) & (lengths * similarity <= n))
+            if not len(rest):
+                continue
+            flat = np.concatenate([sets[i] for i in rest])
+            at = np.minimum(np.searchsorted(sets[a], flat), n - 1)
+            shared = np.bincount(np.repeat(np.arange(len(rest)), lengths[rest]), sets[a][at] == flat, len(rest))
+            near = rest[shared / (n + lengths[rest] - shared) >= similarity]
+            free[near] = False
+            label[near] = root
+            waiting.extend(near)
+    return label
+
+
+def widened(found: DataFrame, pairs: DataFrame, id_column: str) -> DataFrame:
+    """`found` with components that `pairs(u, v)` of ids join further."""
+    found = written(found)
+    of = found.groupBy(F.col(id_column).alias("id")).agg(F.min("component_id").alias("c"))
+    edges = (pairs.join(of.selectExpr("id as u", "c as cu"), "u").join(of.selectExpr("id as v", "c as cv"), "v")
+             .selectExpr("cu as u", "cv as v"))
+    roots = components(edges).withColumnRenamed("node", "component_id")
+    return found.join(roots, "component_id", "left").select(
+        id_column, "fp", F.coalesce("root", "component_id").alias("component_id"))

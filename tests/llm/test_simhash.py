@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from docfields.llm.simhash import digest, near_duplicates, one_of_each
+from docfields.llm.simhash import digest, fingerprint, near_duplicates, one_of_each
 
 
 def slow_fingerprint(text):
@@ -68,3 +68,35 @@ def test_edges(spark, rows):
     kept = one_of_each(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == ({1, 2} if rows else set())
+
+
+def test_similar_texts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr("docfields.llm.simhash.MET", 8)
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    rows = [None, "", "one", "One", "a b c d e f"]
+    for _ in range(15):
+        base = rnd.choices(words, k=rnd.choice([20, 80, 300]))
+        for _ in range(rnd.choice([1, 2, 30])):
+            copy = list(base)
+            for _ in range(rnd.choice([0, 1, len(base) // 60, len(base) // 25])):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, fps = {i: shingles(t) for i, t in rows}, {i: fingerprint(t, 5) for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in range(a):
+            either = len(sets[a] | sets[b])
+            if (fps[a] ^ fps[b]).bit_count() <= 3 or either and len(sets[a] & sets[b]) / either >= 0.8:
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = one_of_each(docs.union(docs.where("doc_id in (1, 7)")), width=5, similarity=0.8)
+    assert sorted(r[0] for r in kept.collect()) == sorted(set(root.values()))
+    assert one_of_each(docs.limit(0), width=5, similarity=0.8).count() == 0
