@@ -23,8 +23,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles), the one with the smallest id."""
-    return simhash.one_of_each(docs, width=5)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that of the smallest id."""
+    return simhash.one_of_each(docs, width=5, similarity=0.8)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
