@@ -287,7 +287,8 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                    .groupBy(id_column).agg(F.count(F.lit(1)).alias("n")))
 
     def of(ids: DataFrame) -> DataFrame:
-        return docs.alias("d").join(ids.alias("k"), F.col(f"d.{id_column}").eqNullSafe(F.col(f"k.{id_column}")), "left_semi")
+        # The ids have no bound, so they aren't broadcast at any size.
+        return docs.alias("d").join(ids.alias("k").hint("merge"), F.col(f"d.{id_column}").eqNullSafe(F.col(f"k.{id_column}")), "left_semi")
 
     repeated = kept.where("n > 1")
     if repeated.isEmpty():
@@ -324,8 +325,7 @@ def similar(docs: DataFrame, id_column: str, text_column: str, *, width: int, si
                     .groupBy("text").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("id")))
     filed = texts.select("id", F.posexplode("keys").alias("band", "key"))
     buckets = filed.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"),
-        F.min("id").alias("pivot")).where("n > 1")
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("id").alias("pivot")).where("n > 1")
     once = buckets.groupBy("n", "members").agg(F.min(F.struct("band", "key", "pivot")).alias("b")).select("n", "b.*")
     pieces = F.ceil(F.col("n") / MET).cast("int")
     met = filed.join(once, ["band", "key"]).select("id", "band", "key", F.explode(
@@ -337,8 +337,8 @@ def similar(docs: DataFrame, id_column: str, text_column: str, *, width: int, si
         found = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    # Of rows that share an id, the texts with a bucket are those of `texts`; others of that id only add comparisons.
-    wanted = by_batch(named.join(met.select("id").distinct(), "id"), sets, f"id {kind}, shingles array<long>")
+    # These ids have no bound either. Of rows that share an id, the texts with a bucket are those of `texts`; others of that id only add comparisons.
+    wanted = by_batch(named.join(met.select("id").distinct().hint("merge"), "id"), sets, f"id {kind}, shingles array<long>")
     keys = ["band", "key", "piece"]
 
     def run(batches):
