@@ -21,7 +21,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.llm.common import by_batch, written
@@ -302,9 +302,9 @@ def similar(docs: DataFrame, id_column: str, text_column: str, *, width: int, si
     No 64 bits tell such texts apart at a bearable number of candidates: at a similarity of 0.8 they differ in 10 bits
     on average. So candidates are texts that agree in all `ROWS` least hashes of one of `BANDS` bands; a pair of
     similarity 0.8 does with a probability of 0.9997. What meets is compared by its whole sets.
-    Buckets with the same members are looked at once. A bucket of more than `MET` texts is cut by a hash that
-    differs from band to band; its smallest id takes part in every piece, so no task and no number of pairs
-    grows with the square of a group.
+    Buckets with the same members are looked at once. A bucket of more than `MET` texts is first cut by a hash that
+    differs from band to band, with its smallest id in every piece; this joins a group of near copies at a cost
+    that grows with its size. What these links leave apart is then compared whole, in pairs of blocks (`crossed`).
     """
     def bands(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         held = [(i, t) for i, t in enumerate(batch.column(1).to_pylist()) if t is not None]
@@ -339,8 +339,45 @@ def similar(docs: DataFrame, id_column: str, text_column: str, *, width: int, si
 
     # These ids have no bound either. Of rows that share an id, the texts with a bucket are those of `texts`; others of that id only add comparisons.
     wanted = by_batch(named.join(met.select("id").distinct().hint("merge"), "id"), sets, f"id {kind}, shingles array<long>")
-    keys = ["band", "key", "piece"]
-
+    dealt = met.join(wanted, "id").select("band", "key", "piece", "id", "shingles")
+    pairs = reaching(dealt, ["band", "key", "piece"], kind, similarity)
+    large = once.where(F.col("n") > MET).select("band", "key")
+    if large.isEmpty():
+        return pairs
+    roots = components(pairs)
+    held = filed.join(large, ["band", "key"]).join(roots.withColumnRenamed("node", "id"), "id", "left").select(
+        "band", "key", "id", F.coalesce("root", "id").alias("joined"))
+    dealt = crossed(written(held)).join(wanted, "id")
+    return roots.union(reaching(dealt, ["band", "key", "low", "high"], kind, similarity)).toDF("u", "v")
+
+
+def crossed(held: DataFrame) -> DataFrame:
+    """`band, key, low, high, side, id, joined`: the pairs of blocks in which all of a bucket meet that aren't joined.
+
+    A component with more members in a bucket than a block holds has blocks of its own, which don't meet each other.
+    """
+    keys, most = ["band", "key"], max(MET // 2, 1)
+    wide = held.groupBy(*keys, "joined").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most).drop("m")
+    pooled = held.join(wide.withColumn("wide", F.lit(True)), [*keys, "joined"], "left").withColumn(
+        "pool", F.when(F.col("wide"), F.col("joined"))).drop("wide")
+    counts = pooled.groupBy(*keys, "pool").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
+    # One row per pool of a bucket, numbered on from the blocks of the pools before it.
+    before = Window.partitionBy(*keys).orderBy("pool").rowsBetween(Window.unboundedPreceding, -1)
+    pools = written(counts.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int")))
+    named = pooled.alias("h").join(pools.alias("p"), [F.col("h.band") == F.col("p.band"), F.col("h.key") == F.col("p.key"),
+                                                      F.col("h.pool").eqNullSafe(F.col("p.pool"))]).select(
+        "h.band", "h.key", "h.id", "h.joined", (F.col("first") + F.pmod(F.xxhash64("id"), "blocks")).cast("int").alias("block"))
+    blocks = pools.select(*keys, "pool", F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("block"))
+    a, b = (blocks.select(*keys, F.col("pool").alias(f"pool_{x}"), F.col("block").alias(x)) for x in ("low", "high"))
+    meeting = a.join(b, keys).where("low <= high and not coalesce(pool_low = pool_high, false)")
+    sides = F.when(F.col("low") == F.col("high"), F.expr("array(struct(low as block, 2 as side))")).otherwise(
+        F.expr("array(struct(low as block, 0 as side), struct(high as block, 1 as side))"))
+    met = meeting.select(*keys, "low", "high", F.inline(sides))
+    return named.join(met, [*keys, "block"]).select(*keys, "low", "high", "side", "id", "joined")
+
+
+def reaching(dealt: DataFrame, keys: list[str], kind: str, similarity: float) -> DataFrame:
+    """`u, v`: links that join all of one run of `keys` that reach each other; with `side, joined`, those not joined yet."""
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -358,16 +395,20 @@ def similar(docs: DataFrame, id_column: str, text_column: str, *, width: int, si
         starts = np.append(changed(table, keys), table.num_rows)
         lists = table.column("shingles").chunk(0)
         flat, ends = lists.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        names = table.column("joined" if crossing else "id")
+        side = table.column("side").to_numpy() if crossing else np.full(table.num_rows, 2)
+        group = names.chunk(0).dictionary_encode().indices.to_numpy() if crossing else np.arange(table.num_rows)
         label = np.arange(table.num_rows)
         for a, b in zip(starts[:-1], starts[1:]):
-            label[a:b] = a + reached([flat[ends[i]:ends[i + 1]] for i in range(a, b)], similarity)
-        moved = np.flatnonzero(label != np.arange(len(label)))
+            sets = [flat[ends[i]:ends[i + 1]] for i in range(a, b)]
+            label[a:b] = a + reached(sets, side[a:b], group[a:b], similarity)
+        moved = np.flatnonzero(group != group[label])
         if len(moved):
-            ids = table.column("id")
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)).combine_chunks() for x in (moved, label[moved])],
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(x)).combine_chunks() for x in (moved, label[moved])],
                                              names=["u", "v"])
 
-    dealt = met.join(wanted, "id").select(*keys, "id", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    crossing = "side" in dealt.columns
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, f"u {kind}, v {kind}")
 
 
@@ -388,28 +429,38 @@ def changed(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def reached(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each sorted set the first one that reaches it over similar ones."""
+def reached(sets: list[np.ndarray], side: np.ndarray, group: np.ndarray, similarity: float) -> np.ndarray:
+    """For each sorted set the first one that reaches it over similar ones and over rows of one group.
+
+    Sides 0 and 1 meet each other only; rows of side 2 meet all.
+    """
     lengths = np.array([len(s) for s in sets])
+    _, group, counts = np.unique(group, return_inverse=True, return_counts=True)
+    members = np.split(np.argsort(group, kind="stable"), np.cumsum(counts)[:-1])
     label, free = np.arange(len(sets)), np.ones(len(sets), bool)
+
+    def taken(rows: np.ndarray, root: int) -> list[int]:
+        whole = np.concatenate([members[g] for g in np.unique(group[rows])])
+        free[whole], label[whole] = False, root
+        return whole.tolist()
+
     for root in range(len(sets)):
         if not free[root]:
             continue
-        free[root] = False
-        waiting = [root]
+        waiting = taken(np.array([root]), root)
         while waiting:
             a = waiting.pop()
             n = lengths[a]
-            rest = np.flatnonzero(free & (lengths >= similarity * n) & (lengths * similarity <= n))
+            rest = np.flatnonzero(free & (lengths >= similarity * n) & (lengths * similarity <= n)
+                                  & ((side != side[a]) | (side == 2)))
             if not len(rest):
                 continue
             flat = np.concatenate([sets[i] for i in rest])
             at = np.minimum(np.searchsorted(sets[a], flat), n - 1)
             shared = np.bincount(np.repeat(np.arange(len(rest)), lengths[rest]), sets[a][at] == flat, len(rest))
             near = rest[shared / (n + lengths[rest] - shared) >= similarity]
-            free[near] = False
-            label[near] = root
-            waiting.extend(near)
+            if len(near):
+                waiting.extend(taken(near, root))
     return label
 
 

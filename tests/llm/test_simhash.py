@@ -100,3 +100,26 @@ def test_similar_texts_against_brute_force(spark, monkeypatch):
     kept = one_of_each(docs.union(docs.where("doc_id in (1, 7)")), width=5, similarity=0.8)
     assert sorted(r[0] for r in kept.collect()) == sorted(set(root.values()))
     assert one_of_each(docs.limit(0), width=5, similarity=0.8).count() == 0
+
+
+def test_pairs_among_siblings_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr("docfields.llm.simhash.MET", 8)
+    template = [f"t{i}" for i in range(174)]
+    own = [[f"o{i}x{k}" for k in range(34)] for i in range(240)]
+    rows = [" ".join(template + o) for o in own]
+    # Two texts share 12 or 13 shingles besides the template: 182 of 226 or more, siblings 170 of 238.
+    rows += [" ".join(template + own[i][:13] + [f"p{i}x{k}" for k in range(21)]) for i in range(80)]
+    rows = list(enumerate(rows))
+    sets, fps = [], [fingerprint(t, 5) for _, t in rows]
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)})
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 3 or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert len(set(root)) > 200
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), width=5, similarity=0.8)
+    assert sorted(r[0] for r in kept.collect()) == sorted(set(root))
