@@ -21,10 +21,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docfields.llm.common import by_batch, written
+from docfields.llm.common import by_batch, fresh, written
 from docfields.llm.components import components
 
 BITS = 64
@@ -57,7 +57,11 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    hashes = shingle_hashes(text, width)
+    return folded(shingle_hashes(text, width))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of a text with these shingles."""
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -255,18 +259,24 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
                     distance: int = DISTANCE, width: int = WIDTH) -> DataFrame:
     """`id, fp, component_id`: the smallest id that each document reaches over links."""
     found = written(fingerprints(docs, id_column, text_column, width))
+    rooted = grown(found, distance)
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "component_id")
+    return found.join(named, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
+
+
+def grown(found: DataFrame, distance: int, more: DataFrame | None = None) -> DataFrame:
+    """`fp, id, root`: every fingerprint of `found(id, fp)`, its smallest id and its component; `more(u, v)` links fingerprints too."""
     nodes = written(found.groupBy("fp").agg(F.min("id").alias("id")))
     rows = nodes.count()
     # Estimates need a sample only; any fingerprints do, so those first in a hashed order are taken.
     sample = np.array([r["fp"] for r in nodes.orderBy(F.xxhash64("fp")).select("fp").limit(ESTIMATE_ROWS).collect()],
                       np.int64)
     plan = planned(sample, rows, correlation(nodes), distance)
-    roots = components(links(nodes, plan, distance))
-    rooted = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+    edges = links(nodes, plan, distance)
+    roots = components(edges if more is None else edges.union(more))
+    return written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "id", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(named, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
 
 
 def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -276,83 +286,102 @@ def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, distance: int = DISTANCE,
                 width: int = WIDTH, similarity: float | None = None) -> DataFrame:
-    """One document of each component: the one with the smallest id. Of rows that repeat one id, one stays.
+    """One document of each component: of the texts with the smallest id (a null one only if there is no other), the one
+    whose hash is least. Of rows that repeat an id and its text, one stays; a null text counts as an empty one.
 
     With `similarity`, texts whose sets of shingles have at least that Jaccard similarity are linked as well.
     """
-    found = near_duplicates(docs, id_column, text_column, distance=distance, width=width)
-    if similarity is not None:
-        found = widened(found, similar(docs, id_column, text_column, width=width, similarity=similarity), id_column)
-    kept = written(found.where(F.col(id_column).eqNullSafe(F.col("component_id")))
-                   .groupBy(id_column).agg(F.count(F.lit(1)).alias("n")))
-
-    def of(ids: DataFrame) -> DataFrame:
-        # The ids have no bound, so they aren't broadcast at any size.
-        return docs.alias("d").join(ids.alias("k").hint("merge"), F.col(f"d.{id_column}").eqNullSafe(F.col(f"k.{id_column}")), "left_semi")
+    marks = text_marks(F.col(text_column))
+    rows = docs.select(F.col(id_column).alias("id"), *marks, F.coalesce(F.col(text_column), F.lit("")).alias("body"))
+    texts = described(rows, width, similarity is not None)
+    more = None if similarity is None else similar(texts, rows, width=width, similarity=similarity)
+    rooted = grown(texts.select("id", "fp"), distance, more).select("fp", "root")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text", "more")).alias("k")
+    kept = texts.join(rooted, "fp").groupBy("root").agg(first).select("k.id", "k.text", "k.more")
+    counts = rows.groupBy("id", "text", "more").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = written(kept.alias("k").join(counts.alias("c"), [F.col("k.id").eqNullSafe(F.col("c.id")), F.col("k.text") == F.col("c.text"),
+                                                            F.col("k.more") == F.col("c.more")], "left").select("k.*", "n"))
+
+    def of(some: DataFrame) -> DataFrame:
+        # The rows have no bound, so they aren't broadcast at any size.
+        text, more = text_marks(F.col(f"d.{text_column}"))
+        return docs.alias("d").join(some.alias("k").hint("merge"), [
+            F.col(f"d.{id_column}").eqNullSafe(F.col("k.id")), text == F.col("k.text"), more == F.col("k.more")], "left_semi")
 
     repeated = kept.where("n > 1")
     if repeated.isEmpty():
         return of(kept)
-    return of(kept.where("n = 1")).union(of(repeated).dropDuplicates([id_column]))
+    mark = fresh(docs, "mark")
+    one = of(repeated).withColumn(mark, F.struct(*marks)).dropDuplicates([id_column, mark]).drop(mark)
+    return of(kept.where("n is null")).union(one)
+
 
+def text_marks(text: Column) -> list[Column]:
+    """`text, more`: 128 bits of hash that name a text."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("text"), F.xxhash64(F.lit(1), text).alias("more")]
 
-def similar(docs: DataFrame, id_column: str, text_column: str, *, width: int, similarity: float) -> DataFrame:
-    """`u, v`: ids of different texts whose shingle sets are similar enough, joined within their buckets.
+
+def described(rows: DataFrame, width: int, banded: bool) -> DataFrame:
+    """`text, more, id, fp, keys`: of every different text the smallest id, the fingerprint and the band keys."""
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        hashes = [shingle_hashes(t, width) for t in batch.column(3).to_pylist()]
+        fps = np.array([folded(h) for h in hashes], np.uint64).view(np.int64)
+        keys = [band_keys(h) if banded and len(h) else [] for h in hashes]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps), pa.array(keys, pa.list_(pa.int64()))],
+                                         names=["id", "text", "more", "fp", "keys"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    found = by_batch(rows.select("id", "text", "more", "body"), run, f"id {kind}, text long, more long, fp long, keys array<long>")
+    return written(found.groupBy("text", "more").agg(
+        F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+
+
+def similar(texts: DataFrame, rows: DataFrame, *, width: int, similarity: float) -> DataFrame:
+    """`u, v`: fingerprints of texts whose shingle sets are similar enough, joined within their buckets.
 
     No 64 bits tell such texts apart at a bearable number of candidates: at a similarity of 0.8 they differ in 10 bits
     on average. So candidates are texts that agree in all `ROWS` least hashes of one of `BANDS` bands; a pair of
     similarity 0.8 does with a probability of 0.9997. What meets is compared by its whole sets.
     Buckets with the same members are looked at once. A bucket of more than `MET` texts is first cut by a hash that
-    differs from band to band, with its smallest id in every piece; this joins a group of near copies at a cost
+    differs from band to band, with its least text mark in every piece; this joins a group of near copies at a cost
     that grows with its size. What these links leave apart is then compared whole, in pairs of blocks (`crossed`).
     """
-    def bands(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        held = [(i, t) for i, t in enumerate(batch.column(1).to_pylist()) if t is not None]
-        at, digests, keys = [], [], []
-        for i, text in held:
-            hashes = shingle_hashes(text, width)
-            if len(hashes):
-                at.append(i)
-                digests.append(xxhash.xxh128_digest(text.encode("utf-8", "replace")))
-                keys.append(band_keys(hashes))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(at, pa.int64())), pa.array(digests, pa.binary()),
-             pa.array(keys, pa.list_(pa.int64()))], names=["id", "text", "keys"])
-
-    kind = docs.schema[id_column].dataType.simpleString()
-    named = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    texts = written(by_batch(named, bands, f"id {kind}, text binary, keys array<long>")
-                    .groupBy("text").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("id")))
-    filed = texts.select("id", F.posexplode("keys").alias("band", "key"))
+    filed = texts.select("text", F.posexplode("keys").alias("band", "key"))
     buckets = filed.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("id").alias("pivot")).where("n > 1")
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("text")).alias("members"), F.min("text").alias("pivot")).where("n > 1")
     once = buckets.groupBy("n", "members").agg(F.min(F.struct("band", "key", "pivot")).alias("b")).select("n", "b.*")
     pieces = F.ceil(F.col("n") / MET).cast("int")
-    met = filed.join(once, ["band", "key"]).select("id", "band", "key", F.explode(
-        F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0), pieces - 1))
-        .otherwise(F.array(F.pmod(F.xxhash64("id", "band"), pieces).cast("int")))).alias("piece"))
+    met = filed.join(once, ["band", "key"]).select("text", "band", "key", F.explode(
+        F.when(F.col("text") == F.col("pivot"), F.sequence(F.lit(0), pieces - 1))
+        .otherwise(F.array(F.pmod(F.xxhash64("text", "band"), pieces).cast("int")))).alias("piece"))
     met = written(met)
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    # These ids have no bound either. Of rows that share an id, the texts with a bucket are those of `texts`; others of that id only add comparisons.
-    wanted = by_batch(named.join(met.select("id").distinct().hint("merge"), "id"), sets, f"id {kind}, shingles array<long>")
-    dealt = met.join(wanted, "id").select("band", "key", "piece", "id", "shingles")
-    pairs = reaching(dealt, ["band", "key", "piece"], kind, similarity)
+        hashes = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
+        fps = np.array([folded(h) for h in hashes], np.uint64).view(np.int64)
+        found = [np.unique(h).view(np.int64) for h in hashes]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(found, pa.list_(pa.int64()))],
+                                         names=["text", "fp", "shingles"])
+
+    # These texts have no bound either. Copies are put together before they are dealt; a second text of one mark only adds comparisons.
+    asked = texts.select("text", "more").join(met.select("text").distinct(), "text", "left_semi")
+    bodies = rows.groupBy("text", "more").agg(F.first("body").alias("body")).join(asked.hint("merge"), ["text", "more"])
+    wanted = by_batch(bodies.select("text", "body"), sets, "text long, fp long, shingles array<long>")
+    dealt = met.join(wanted, "text").select("band", "key", "piece", "fp", "shingles")
+    pairs = reaching(dealt, ["band", "key", "piece"], similarity)
     large = once.where(F.col("n") > MET).select("band", "key")
     if large.isEmpty():
         return pairs
     roots = components(pairs)
-    held = filed.join(large, ["band", "key"]).join(roots.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "key", "id", F.coalesce("root", "id").alias("joined"))
-    dealt = crossed(written(held)).join(wanted, "id")
-    return roots.union(reaching(dealt, ["band", "key", "low", "high"], kind, similarity)).toDF("u", "v")
+    named = texts.select("text", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "text", "fp", F.coalesce("root", "fp").alias("joined"))
+    dealt = crossed(written(filed.join(large, ["band", "key"]).join(named, "text"))).join(wanted, ["text", "fp"])
+    return roots.union(reaching(dealt, ["band", "key", "low", "high"], similarity)).toDF("u", "v")
 
 
 def crossed(held: DataFrame) -> DataFrame:
-    """`band, key, low, high, side, id, joined`: the pairs of blocks in which all of a bucket meet that aren't joined.
+    """`band, key, low, high, side, text, fp, joined`: the pairs of blocks in which all of a bucket meet that aren't joined.
 
     A component with more members in a bucket than a block holds has blocks of its own, which don't meet each other.
     """
@@ -366,17 +395,17 @@ def crossed(held: DataFrame) -> DataFrame:
     pools = written(counts.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int")))
     named = pooled.alias("h").join(pools.alias("p"), [F.col("h.band") == F.col("p.band"), F.col("h.key") == F.col("p.key"),
                                                       F.col("h.pool").eqNullSafe(F.col("p.pool"))]).select(
-        "h.band", "h.key", "h.id", "h.joined", (F.col("first") + F.pmod(F.xxhash64("id"), "blocks")).cast("int").alias("block"))
+        "h.band", "h.key", "h.text", "h.fp", "h.joined", (F.col("first") + F.pmod(F.xxhash64("text"), "blocks")).cast("int").alias("block"))
     blocks = pools.select(*keys, "pool", F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("block"))
     a, b = (blocks.select(*keys, F.col("pool").alias(f"pool_{x}"), F.col("block").alias(x)) for x in ("low", "high"))
     meeting = a.join(b, keys).where("low <= high and not coalesce(pool_low = pool_high, false)")
     sides = F.when(F.col("low") == F.col("high"), F.expr("array(struct(low as block, 2 as side))")).otherwise(
         F.expr("array(struct(low as block, 0 as side), struct(high as block, 1 as side))"))
     met = meeting.select(*keys, "low", "high", F.inline(sides))
-    return named.join(met, [*keys, "block"]).select(*keys, "low", "high", "side", "id", "joined")
+    return named.join(met, [*keys, "block"]).select(*keys, "low", "high", "side", "text", "fp", "joined")
 
 
-def reaching(dealt: DataFrame, keys: list[str], kind: str, similarity: float) -> DataFrame:
+def reaching(dealt: DataFrame, keys: list[str], similarity: float) -> DataFrame:
     """`u, v`: links that join all of one run of `keys` that reach each other; with `side, joined`, those not joined yet."""
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -395,7 +424,7 @@ def reaching(dealt: DataFrame, keys: list[str], kind: str, similarity: float) ->
         starts = np.append(changed(table, keys), table.num_rows)
         lists = table.column("shingles").chunk(0)
         flat, ends = lists.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
-        names = table.column("joined" if crossing else "id")
+        names = table.column("joined" if crossing else "fp")
         side = table.column("side").to_numpy() if crossing else np.full(table.num_rows, 2)
         group = names.chunk(0).dictionary_encode().indices.to_numpy() if crossing else np.arange(table.num_rows)
         label = np.arange(table.num_rows)
@@ -409,7 +438,7 @@ def reaching(dealt: DataFrame, keys: list[str], kind: str, similarity: float) ->
 
     crossing = "side" in dealt.columns
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, f"u {kind}, v {kind}")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -462,14 +491,3 @@ def reached(sets: list[np.ndarray], side: np.ndarray, group: np.ndarray, similar
             if len(near):
                 waiting.extend(taken(near, root))
     return label
-
-
-def widened(found: DataFrame, pairs: DataFrame, id_column: str) -> DataFrame:
-    """`found` with components that `pairs(u, v)` of ids join further."""
-    found = written(found)
-    of = found.groupBy(F.col(id_column).alias("id")).agg(F.min("component_id").alias("c"))
-    edges = (pairs.join(of.selectExpr("id as u", "c as cu"), "u").join(of.selectExpr("id as v", "c as cv"), "v")
-             .selectExpr("cu as u", "cv as v"))
-    roots = components(edges).withColumnRenamed("node", "component_id")
-    return found.join(roots, "component_id", "left").select(
-        id_column, "fp", F.coalesce("root", "component_id").alias("component_id"))

@@ -123,3 +123,21 @@ def test_pairs_among_siblings_of_one_template(spark, monkeypatch):
     assert len(set(root)) > 200
     kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), width=5, similarity=0.8)
     assert sorted(r[0] for r in kept.collect()) == sorted(set(root))
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_distinct_texts_under_null_and_repeated_ids(spark, similarity):
+    words = [[f"w{i}x{k}" for k in range(200)] for i in range(8)]
+    text = [" ".join(w) for w in words]
+    near = [" ".join(w[:-10] + ["x"] * 10) for w in words]
+    rows = [(None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (7, text[3]), (7, text[4]), (7, text[4]),
+            (3, text[5]), (8, near[5]), (8, text[6]), (None, near[6]), (None, text[7]), (None, near[7])]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), width=5, similarity=similarity)
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(found) == len(set(found))
+    if similarity is None:
+        assert set(found) == set(rows)
+    else:
+        last = set(found) & {(None, text[7]), (None, near[7])}
+        assert len(last) == 1
+        assert set(found) == last | {*rows[:7], (3, text[5]), (8, text[6])}
