@@ -4,12 +4,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows in one Arrow batch of whole texts; texts of some kilobytes keep a batch at a few megabytes.
 TEXT_BATCH = 1000
+# Bytes of text in one run of rows where rows are bounded by bytes.
+TEXT_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,11 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """`df` as a table in the shared folder: computed once, no lineage, its size known to the planner."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,6 +47,26 @@ def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Rec
     return df.mapInArrow(run, schema)
 
 
+def by_bytes(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, column: str,
+             size: int = TEXT_BYTES) -> DataFrame:
+    """`function` over runs of rows of `df` whose `column` holds about `size` bytes; at most one longer value is in a run.
+
+    No setting of the session is changed.
+    """
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            starts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(starts[:-1], starts[1:]):
+                yield from function(batch.slice(start, stop - start))
+
+    return df.mapInArrow(run, schema)
+
+
 def remainder(doc_id: Column | str, by: int) -> Column:
     """CRC-32 of the id's decimal text modulo `by`; a null id counts as an empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

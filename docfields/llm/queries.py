@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfields.llm import (
-    language, mixing, neighbours, pieces, secrets, sharding, simhash, substrings, topk, toxicity,
+    jaccard, language, mixing, neighbours, periodic, phrases, pieces, secrets, sharding, simhash, substrings, topk, toxicity,
 )
 from docfields.llm.common import remainder
 
@@ -68,6 +68,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=periodic.cycled))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scans": op2_secret_scans,
@@ -79,9 +91,46 @@ QUERIES: dict[str, Query] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
+# Phrases of k words: a piece's words from every place on.
+_GRAMS = "\n union all ".join(
+    f"select lang, list_slice(w, i, i + {k - 1}) as g from placed where i + {k - 1} <= len(w)" for k in (1, 2, 3, 4))
+
 ORACLE: dict[str, str] = {
+    "op12_collocations": f"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\\x0A-\\x0D]')) as piece
+            from documents
+        ), split as (
+            select lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') as w from pieces
+        ), placed as (select lang, w, unnest(range(1, len(w) + 1)) as i from split),
+        f as (select lang, g, count(*) as a from ({_GRAMS}) group by lang, g),
+        n as (select lang, cast(sum(len(w)) as bigint) as n from split group by lang),
+        c as (select * from f where len(g) > 1 and a >= 30),
+        inner_ as (
+            select lang, unnest([g[1:len(g) - 1], g[2:len(g)]]) as g, a from c where len(g) > 2
+            union all select lang, unnest([g[1:2], g[2:3], g[3:4]]) as g, a from c where len(g) = 4
+        ), held as (select lang, g, max(a) as longer from inner_ group by lang, g),
+        cuts as (
+            select c.lang, c.g, c.a, k, x.a as l, y.a as r,
+                   cast(2000000 * c.a::hugeint // (x.a + y.a) as bigint) as score
+            from (select *, unnest(range(1, len(g))) as k from c) c
+            join f x on x.lang = c.lang and x.g = c.g[1:k]
+            join f y on y.lang = c.lang and y.g = c.g[k + 1:len(c.g)]
+        ), best as (
+            select * from cuts qualify row_number() over (partition by lang, g order by score, k) = 1
+        ), ranked as (
+            select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank,
+                   array_to_string(g, ' ') as phrase, a, l, r, score
+            from best where not exists (select 1 from held h where h.lang = best.lang and h.g = best.g and 100 * h.longer >= 80 * best.a)
+        )
+        select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000""",
     # The k-th best score cuts off; every query meets every row but its own.
     "op8_exact_top_k": """
         with v as (
