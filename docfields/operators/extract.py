@@ -17,6 +17,7 @@ from docfields.functions.search import (
 )
 from docfields.functions.serials import serial_first
 from docfields.functions.text import normalize_key
+from docfields.operators.index import long_text_hits
 from docfields.operators.tables import lookup_in_row, lookup_terms, page_tables, table_lookup
 from docfields.plans.materialize import materialize
 
@@ -222,3 +223,34 @@ def extract(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None =
         .select("page_id", "serial", F.col("term").alias("key"), "value")
     )
     return _results(recorded.unionByName(from_tables, allowMissingColumns=True))
+
+
+def extract_long(pages: DataFrame, terms: DataFrame, patterns: Patterns | None = None, *, n: int = 0, serials: bool = False,
+                 cells: DataFrame | None = None, full_numbers: bool = False, word_boundary: bool = False,
+                 sample_rows: int | None = None) -> DataFrame:
+    """Extract a long list of literal `terms(term_pos, term)` from `pages(page_id, text)`: `image, serial, key, value, path`.
+
+    The rows of `extract` for such terms, with `n` 0 or 1 and without a trace; the plan does not grow with the list. Terms that
+    are fields of `patterns` are left to `extract`. A term without a value in the text is looked up in `cells`. Then
+    `page_id` must be distinct.
+    """
+    if n not in (0, 1):
+        raise ValueError(f"long term lists take n = 0 or 1, not {n}")
+    fields = sorted(patterns or ())
+    if fields:
+        terms = terms.where(~F.lower("term").isin(fields))
+    hits = long_text_hits(pages, terms, full_numbers=full_numbers, serials=serials,
+                          serial_patterns=(patterns or {}).get("serial"), word_boundary=word_boundary)
+    key = normalize_key(F.col("term")) if n else F.col("key")
+    filled = hits.where((F.col("key") != "") & (F.col("value") != "")).withColumn("key", key).withColumn("path", _no_string())
+    if cells is None:
+        return _results(filled)
+    # Misses are all pages and terms but the few that hit, so it is the values from tables that are taken away where there is a
+    # hit, not the misses that are looked up.
+    looked = table_lookup(cells, terms, sample_rows=sample_rows)
+    missed = looked.join(filled.select("page_id", "term_pos"), ["page_id", "term_pos"], "left_anti")
+    serial = serial_first(F.col("text"), (patterns or {}).get("serial"), None, word_boundary) if serials else _no_string()
+    named = pages.select(F.col("page_id").alias("s_page"), serial.alias("serial"))
+    from_tables = missed.join(named, F.col("page_id") == F.col("s_page")).select(
+        "page_id", "serial", F.col("term").alias("key"), "value", _no_string().alias("path"))
+    return _results(filled.unionByName(from_tables, allowMissingColumns=True))

@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docfields.fixed import FLAVORS
 from docfields.functions.search import let
 from docfields.functions.text import normalize_cell, normalize_header
+from docfields.operators.index import spelled_candidates
 from docfields.sources.text_tables import flavor_rank, tables_in
 
+# Terms as a list, or as many rows as there are: `terms(term_pos, term)`.
+Terms = Sequence[str] | DataFrame
 TABLE_KEY = ["page_id", "flavor", "flavor_rank", "table_idx"]
 
 
@@ -69,20 +72,25 @@ def dedupe_tables(cells: DataFrame, sample_rows: int | None = None) -> DataFrame
 
 # -- lookup over cells ------------------------------------------------------------------------------
 
-def _candidates(cells: DataFrame, terms: Sequence[tuple[int, str]], kinds: Sequence[int]) -> DataFrame:
+def _candidates(cells: DataFrame, listed: Terms, kinds: Sequence[int]) -> DataFrame:
     """One row per cell, term and kind; narrow, and most cells give none.
 
-    The options are exploded first and the empty ones dropped after, all in generated code.
+    Terms of a list become options that are exploded first, the empty ones dropped after, all in generated code. Terms that are
+    rows are joined by what headers and cells contain.
     """
+    filled = cells.where(F.col("cell").isNotNull() & (F.col("cell") != ""))
+    lowered = filled.select(*TABLE_KEY, "row_idx", "col_idx", "cell", F.lower("header").alias("_header"),
+                            F.lower("cell").alias("_cell"))
+    if isinstance(listed, DataFrame):
+        return spelled_candidates(lowered, listed, list(kinds)).select(
+            *TABLE_KEY, "row_idx", "col_idx", "cell", "term_pos", "term", "kind")
+    terms = lookup_terms(listed)
     options = [
         F.when(F.contains(F.col(searched), F.lit(term)),
                F.struct(F.lit(pos).alias("term_pos"), F.lit(term).alias("term"), F.lit(kind).alias("kind")))
         for pos, term in terms
         for kind, searched in enumerate(("_header", "_cell")) if kind in kinds
     ]
-    filled = cells.where(F.col("cell").isNotNull() & (F.col("cell") != ""))
-    lowered = filled.select(*TABLE_KEY, "row_idx", "col_idx", "cell", F.lower("header").alias("_header"),
-                            F.lower("cell").alias("_cell"))
     return lowered.select(
         *TABLE_KEY, "row_idx", "col_idx", "cell", F.inline(F.array(*options))
     ).where(F.col("term_pos").isNotNull())
@@ -108,31 +116,31 @@ def _rank() -> Column:
     return F.coalesce(both.cast("decimal(38,0)"), F.lit(Decimal(0)).cast("decimal(38,0)"))
 
 
-def header_hits(cells: DataFrame, terms: Sequence[str]) -> DataFrame:
+def header_hits(cells: DataFrame, terms: Terms) -> DataFrame:
     """Every filled cell under a header that contains a term."""
-    return _candidates(cells, lookup_terms(terms), [0]).select(
+    return _candidates(cells, terms, [0]).select(
         "page_id", "term_pos", "term", "flavor_rank", "table_idx", "row_idx", "col_idx", "cell"
     )
 
 
-def cell_hits(cells: DataFrame, terms: Sequence[str]) -> DataFrame:
+def cell_hits(cells: DataFrame, terms: Terms) -> DataFrame:
     """Per table and term the first cell, in reading order, that contains the term."""
     return (
-        _candidates(cells, lookup_terms(terms), [1])
+        _candidates(cells, terms, [1])
         .groupBy("page_id", "term_pos", "term", "flavor_rank", "table_idx")
         .agg(F.min(F.struct("row_idx", "col_idx", "cell")).alias("first"))
         .select("page_id", "term_pos", "term", "flavor_rank", "table_idx", "first.*")
     )
 
 
-def table_lookup(cells: DataFrame, terms: Sequence[str], known: DataFrame | None = None,
+def table_lookup(cells: DataFrame, terms: Terms, known: DataFrame | None = None,
                  dedupe: bool = True, sample_rows: int | None = None) -> DataFrame:
     """Look terms up in tables: `page_id, term_pos, term, value`, values distinct per page and term.
 
     `known(page_id, term_pos, key, value)` holds values already recorded; a candidate is passed over
     if the same page, key and value were recorded for this term or an earlier one.
     """
-    found = _candidates(cells, lookup_terms(terms), [0, 1])
+    found = _candidates(cells, terms, [0, 1])
     if dedupe:
         # Not a semi join: that would be pushed below the search and shuffle every cell.
         found = found.join(unique_tables(cells, sample_rows), TABLE_KEY)

@@ -12,6 +12,7 @@ from docfields.functions.serials import serial_all, serial_first
 from docfields.functions.text import clean_text, normalize_cell, normalize_header, normalize_text
 from docfields.operators import tables as tb
 from docfields.operators.extract import extract, missed_pairs, text_hits
+from docfields.operators.index import long_text_hits
 from docfields.operators.rollup import rollup, rollup_both
 from docfields.queries import forms as fm
 from docfields.queries import sql
@@ -173,16 +174,17 @@ def term_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("term_patterns", """with catalog as (
   select distinct lower(p_name) as field, 0 as pattern_pos, concat(p_name, '[:\\s-]*(\\S+)') as regex
-  from part where p_size <= 3)
-select p_partkey, upper(p_name) as term, pattern_pos, regex
-from part left join catalog on lower(upper(p_name)) = field""")
+  from part)
+select p_partkey, case when p_partkey % 3 = 0 then p_type else upper(p_name) end as term, pattern_pos, regex
+from part left join catalog on lower(case when p_partkey % 3 = 0 then p_type else upper(p_name) end) = field""")
 def term_pattern_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
-    catalog = part.where("p_size <= 3").select(
+    catalog = part.select(
         F.lower("p_name").alias("field"), F.lit(0).alias("pattern_pos"),
         F.concat("p_name", F.lit(r"[:\s-]*(\S+)")).alias("regex"),
     ).distinct()
-    terms = part.select("p_partkey", F.upper("p_name").alias("term"))
+    # A third of the terms are types, which no field is named by.
+    terms = part.select("p_partkey", F.expr("case when p_partkey % 3 = 0 then p_type else upper(p_name) end").alias("term"))
     return term_patterns(terms, catalog).select("p_partkey", "term", "pattern_pos", "regex")
 
 
@@ -420,27 +422,44 @@ def table_cell_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLACED = f"concat(row_idx, chr(1), col_idx, chr(1), {sql.NORM_HEADER}, chr(1), {sql.NORM_CELL})"
 
 
-@query("table_signature", f"""with {_STREAM}
+_BOTH = f"""{fm.FORM_PAGES},
+{sql.text_cells('form_pages', 'lattice', 'lattice')},
+{sql.text_cells('form_pages', 'stream', 'stream')},
+cells as materialized (select * from lattice union all select * from stream)"""
+
+
+@query("table_signature", f"""with {_BOTH}
 select page_id, flavor, cast(table_idx as integer) as table_idx,
        md5(concat(cast(sum(cast('0x' || substr(md5({_PLACED}), 1, 15) as bigint)) as varchar),
                   chr(1), count(*))) as signature
-from stream group by page_id, flavor, table_idx""")
+from cells group by page_id, flavor, table_idx""")
 def table_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = text_tables(fm.form_pages(spark, sf_dir), ["stream"])
+    cells = text_tables(fm.form_pages(spark, sf_dir))
     return tb.table_signatures(cells).select("page_id", "flavor", "table_idx", "signature")
 
 
-@query("table_dedupe", f"""with {_STREAM},
+def _deduped(rows: str = "") -> str:
+    return f"""with {_BOTH},
 printed as (
-  select page_id, table_idx,
-         string_agg(concat(row_idx, chr(1), col_idx, chr(1), {sql.NORM_HEADER}, chr(1), {sql.NORM_CELL}), chr(2)
-                    order by row_idx, col_idx) as print
-  from stream group by all),
-kept as (select page_id, table_idx from printed
-         qualify row_number() over (partition by page_id, print order by table_idx) = 1)
-select {_CELLS} from stream join kept using (page_id, table_idx)""")
+  select page_id, flavor, table_idx,
+         string_agg({_PLACED}, chr(2) order by row_idx, col_idx) filter (row_idx >= 0 {rows}) as print
+  from cells group by all),
+kept as (select page_id, flavor, table_idx from printed
+         qualify row_number() over (partition by page_id, flavor, print order by table_idx) = 1)
+select {_CELLS} from cells join kept using (page_id, flavor, table_idx)"""
+
+
+@query("table_dedupe", _deduped())
 def table_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tb.dedupe_tables(text_tables(fm.form_pages(spark, sf_dir), ["stream"])).select(
+    return tb.dedupe_tables(text_tables(fm.form_pages(spark, sf_dir))).select(
+        "page_id", "flavor", "flavor_rank", "table_idx", "row_idx", "col_idx", "header", "cell"
+    )
+
+
+@query("table_dedupe_sampled", _deduped("and row_idx < 8"))
+def table_dedupe_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that are equal in their first eight rows count once; the longer copy of a form's table does not stay."""
+    return tb.dedupe_tables(text_tables(fm.form_pages(spark, sf_dir)), sample_rows=8).select(
         "page_id", "flavor", "flavor_rank", "table_idx", "row_idx", "col_idx", "header", "cell"
     )
 
@@ -470,6 +489,44 @@ def table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.table_lookup(fm.order_cells(spark, sf_dir), TABLE_TERMS)
 
 
+# -- long term lists --------------------------------------------------------------------------------
+
+_OPENING = "concat_ws(' ', split_part(text, ' ', 1), split_part(text, ' ', 2))"
+_LONG_TERMS = f"""select min(term_pos) as term_pos, term from (
+  select conv_id * 100 + turn as term_pos, {_OPENING} as term from conversations
+  union all select -1 - p_partkey, p_name from part) group by term"""
+_CELL_TERMS = """select min(p_partkey) as term_pos, term from (
+  select p_partkey, cast(p_size as {str}) as term from part
+  union all select p_partkey, p_name from part
+  union all select p_partkey, concat('art', cast(p_partkey % 9 as {str})) from part) group by term"""
+
+
+def _rows_of(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    tables = {name: read(spark, sf_dir, name) for name in ("conversations", "part")}
+    return spark.sql(text.replace("from conversations", "from {conversations}").replace("from part", "from {part}"), **tables)
+
+
+@query("long_terms", f"""with {fm.NOTICES}, terms as materialized ({_LONG_TERMS}),
+low as materialized (select page_id, text, lower(text) as low from notices),
+lowered as materialized (select term_pos, term, lower(term) as needle from terms),
+met as materialized (select page_id, term_pos, term, text from low, lowered where contains(low, needle)),
+found as (select page_id, term_pos, term, {sql.found('text', 'term', True)} as key,
+                 {sql.cascade(sql.snippet('text', 'term', True))} as value from met)
+select page_id, term_pos, term, {sql.strip('lower(key)')} as key, value from found""")
+def long_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings of conversations and names of parts, as many as there are, in the documents."""
+    terms = _rows_of(spark, sf_dir, _LONG_TERMS)
+    return long_text_hits(fm.notices(spark, sf_dir), terms).drop("serial")
+
+
+@query("long_terms_lookup", f"""with {_BOTH},
+{sql.lookup('cells', _CELL_TERMS.format(str='varchar'))}
+select page_id, term_pos, term, value from lookup""")
+def long_terms_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, names and article numbers of parts in the tables of the forms, which have several rows."""
+    return tb.table_lookup(text_tables(fm.form_pages(spark, sf_dir)), _rows_of(spark, sf_dir, _CELL_TERMS.format(str="string")))
+
+
 _MISSED = f"""{fm.FORM_PAGES},
 found as ({sql.searches('form_pages', TABLE_TERMS, PATTERNS)}),
 missed as (select page_id, term_pos, term from found where ({_KEPT}) is not true)"""

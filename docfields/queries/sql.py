@@ -101,28 +101,32 @@ def serial_all(text: str) -> str:
 def chains(pages: str, terms: list[str], patterns: dict, n: int) -> str:
     """Common table expressions `h1 … hn`, each with the hops so far, and `chains` with all of them.
 
-    `chains` has `page_id, term_pos, initial, term, value, path` of the last hop reached.
+    `chains` has `page_id, term_pos, initial, term, value, path` of the last hop reached. Hops hold no text; the page is
+    joined to each of them. A chain that ends carries the hop's number, so the last one is a maximum.
     """
     first = "\n union all ".join(
-        "select page_id, text, {pos} as term_pos, {q} as initial, {key} as term, {value} as value from {pages}"
-        .format(pos=pos, q=quote(t), key=k, value=v, pages=pages)
+        "select page_id, {pos} as term_pos, {q} as initial, {key} as term, {value} as value from chain_pages"
+        .format(pos=pos, q=quote(t), key=k, value=v)
         for pos, t in enumerate(terms) for k, v in [search("text", t, patterns)]
     )
     alive = "term is not null and term <> '' and value is not null and value <> ''"
-    ctes = [f"s1 as materialized ({first})",
+    ctes = [f"chain_pages as materialized (select page_id, text from {pages})",
+            f"s1 as materialized ({first})",
             f"h1 as materialized (select *, concat(term, ':', value) as path from s1 where {alive})"]
     for i in range(2, n + 1):
         key, value = search("text", "last", patterns, column=True)
-        ctes.append(f"s{i} as materialized (select page_id, text, term_pos, initial, {key} as term, {value} as value, before "
-                    f"from (select page_id, text, term_pos, initial, value as last, path as before from h{i - 1}))")
-        ctes.append(f"h{i} as materialized (select page_id, text, term_pos, initial, term, value, "
+        ctes.append(f"s{i} as materialized (select page_id, term_pos, initial, {key} as term, {value} as value, before "
+                    f"from (select h.page_id, p.text, h.term_pos, h.initial, h.value as last, h.path as before "
+                    f"from h{i - 1} h join chain_pages p on p.page_id = h.page_id))")
+        ctes.append(f"h{i} as materialized (select page_id, term_pos, initial, term, value, "
                     f"concat(before, ' -> ', term, ':', value) as path from s{i} where {alive})")
-    last = []
-    for i in range(1, n + 1):
-        stop = "" if i == n else (
-            f" where (page_id, term_pos) not in (select (page_id, term_pos) from h{i + 1})")
-        last.append(f"select page_id, term_pos, initial, term, value, path from h{i}{stop}")
-    return ",\n".join(ctes) + ",\nchains as (" + "\n union all ".join(last) + ")"
+    every = "\n union all ".join(f"select {i} as hop, page_id, term_pos, initial, term, value, path from h{i}"
+                                 for i in range(1, n + 1))
+    ctes.append(f"hops as materialized ({every})")
+    return ",\n".join(ctes) + """,
+chains as materialized (
+  select page_id, term_pos, initial, term, value, path
+  from (select *, max(hop) over (partition by page_id, term_pos) as last_hop from hops) where hop = last_hop)"""
 
 
 def plain_number(expr: str) -> str:
@@ -146,44 +150,40 @@ def text_cells(pages: str, flavor: str, name: str) -> str:
         is_row = f"contains(line, '|') and contains({bars}, '|')"
         cells = f"[trim(c, ' ') for c in string_split({bars}, '|')]"
     rank = {"lattice": 0, "stream": 1}[flavor]
-    return f"""{name}_lines as (
+    return f"""{name}_lines as materialized (
   select page_id, unnest(lines) as line, unnest(range(0, len(lines))) as line_no
   from (select page_id, string_split_regex(text, '\\r?\\n') as lines from {pages})),
 {name}_runs as (
   select page_id, {cells} as cells, line_no,
          line_no - row_number() over (partition by page_id order by line_no) as run
   from {name}_lines where {is_row}),
-{name}_rows as (
+{name}_rows as materialized (
   select page_id, cells, dense_rank() over (partition by page_id order by run) - 1 as table_idx,
-         row_number() over (partition by page_id, run order by line_no) - 2 as row_idx
+         row_number() over (partition by page_id, run order by line_no) - 2 as row_idx,
+         first_value(cells) over (partition by page_id, run order by line_no) as names
   from {name}_runs),
-{name}_pairs as (
-  select d.page_id, d.table_idx, d.row_idx, h.cells as names, d.cells as cells,
-         unnest(range(0, greatest(len(h.cells), len(d.cells)))) as col_idx
-  from {name}_rows d join {name}_rows h
-    on h.page_id = d.page_id and h.table_idx = d.table_idx and h.row_idx = -1 and d.row_idx >= 0),
-{name} as (
+{name} as materialized (
   select page_id, '{flavor}' as flavor, {rank} as flavor_rank, table_idx, row_idx, col_idx,
          names[col_idx + 1] as header, cells[col_idx + 1] as cell
-  from {name}_pairs)"""
+  from (select *, unnest(range(0, greatest(len(names), len(cells)))) as col_idx from {name}_rows where row_idx >= 0))"""
 
 
 NORM_HEADER = f"lower({strip("coalesce(header, '')")})"
 NORM_CELL = "lower(trim(regexp_replace(coalesce(cell, ''), '\\s+', ' ', 'g'), ' '))"
 
 
-def lookup(cells: str, terms: list[str], pairs: str | None = None, known: str | None = None) -> str:
-    """Common table expressions ending in `lookup(page_id, term_pos, term, value)`."""
-    names = ", ".join(f"({i}, {quote(t.lower())})" for i, t in enumerate(terms))
+def lookup(cells: str, terms: list[str] | str, pairs: str | None = None, known: str | None = None) -> str:
+    """Common table expressions ending in `lookup(page_id, term_pos, term, value)`; `terms` may be a SELECT of `term_pos, term`."""
+    names = terms if isinstance(terms, str) else "values " + ", ".join(f"({i}, {quote(t.lower())})" for i, t in enumerate(terms))
     pair_join = f" join {pairs} p using (page_id, term_pos)" if pairs else ""
     skip = (f" where not exists (select 1 from {known} k where k.page_id = a.page_id and k.key = a.term "
             "and k.value = a.cell and k.term_pos <= a.term_pos)") if known else ""
-    return f"""names(term_pos, term) as (values {names}),
+    return f"""names(term_pos, term) as ({names}),
 printed as (
   select page_id, flavor, flavor_rank, table_idx,
          string_agg(concat(row_idx, chr(1), col_idx, chr(1), {NORM_HEADER}, chr(1), {NORM_CELL}), chr(2)
                     order by row_idx, col_idx, {NORM_HEADER}, {NORM_CELL}) as print
-  from {cells} where row_idx < 8 group by all),
+  from {cells} group by all),
 kept as (
   select page_id, flavor, flavor_rank, table_idx from printed
   qualify row_number() over (partition by page_id, flavor, print order by table_idx) = 1),
