@@ -39,5 +39,9 @@ NUMERIC = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
 # Rows of a table that enter its signature where only a sample of it is compared (by default all do).
 SIGNATURE_ROWS = 8
 
-# Table layouts, in the order in which a lookup tries them.
-FLAVORS = ("lattice", "stream")
+# Table layouts, in the order in which a lookup tries them; those looked for unless others are named.
+LAYOUTS = ("lattice", "stream", "aligned")
+FLAVORS = LAYOUTS[:2]
+
+# Lines that a table whose columns only line up has at least.
+ALIGNED_LINES = 3

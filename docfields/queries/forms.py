@@ -56,6 +56,27 @@ PAGE_2_SPARK = _page_2(_SPARK_ROWS, "'\\n'")
 PAGE_2_DUCKDB = _page_2(_DUCKDB_ROWS, "chr(10)")
 
 
+# A ledger has tables whose columns only line up: fixed widths, empty cells, gaps of one space, an indented copy, prose between.
+_LEDGER = """concat(
+  'Libro de la orden ', {key}, {newline}, 'nota  breve', {newline}, {newline},
+  'Concepto', repeat(' ', 9), 'Cant Precio', {newline}, {rows}, {newline}, 'fin', {newline},
+  case when o_orderkey % 4 = 0 then concat('   Concepto', repeat(' ', 9), 'Cant Precio', {newline}, {again}, {newline}) else '' end,
+  case when o_orderkey % 6 = 0 then concat({newline}, 'uno  dos', {newline}, 'xx yy  z', {newline}, 'a   b', {newline}) else '' end)"""
+_LEDGER_ROW = """concat({lead}rpad(concat('art', {i7}, case when o_orderkey % 3 = 0 then ' de metal' else '' end), 15, ' '),
+  case when (o_orderkey + i) % 4 = 0 then repeat(' ', 6) else lpad({qty}, 6, ' ') end, ' ', lpad({price}, 6, ' '))"""
+
+
+def _ledger(kind: str, newline: str, sequence: str) -> str:
+    parts = dict(i7=f"cast((o_orderkey + i) % 7 as {kind})", qty=f"cast(o_orderkey * i % 5000 as {kind})",
+                 price=f"concat(cast((o_orderkey + i) % 900 as {kind}), '.5')")
+    rows, again = (sequence.format(row=_LEDGER_ROW.format(lead=lead, **parts)) for lead in ("", "'   ', "))
+    return _LEDGER.format(key=f"cast(o_orderkey as {kind})", newline=newline, rows=rows, again=again)
+
+
+LEDGER_SPARK = _ledger("string", "'\\n'", "array_join(transform(sequence(1, 2 + o_orderkey % 5), i -> {row}), '\\n')")
+LEDGER_DUCKDB = _ledger("varchar", "chr(10)", "array_to_string([{row} for i in range(1, cast(3 + o_orderkey % 5 as bigint))], chr(10))")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,6 +103,12 @@ def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_pages(forms(spark, sf_dir).select("doc_id", stem.alias("stem"), "text"))
 
 
+def ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`page_id, text`: one page per order."""
+    return read_spread(spark, sf_dir, "orders", "o_orderkey").select(
+        F.concat(F.lit("ledger_"), F.col("o_orderkey").cast("string")).alias("page_id"), F.expr(LEDGER_SPARK).alias("text"))
+
+
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given documents as pages: `page_id, text`."""
     return read_spread(spark, sf_dir, "documents", "doc_id", "text").select(
@@ -123,6 +150,8 @@ form_pages as (
          string_split(text, chr(12))[page_no] as text
   from (select doc_id, text, unnest(range(1, len(string_split(text, chr(12))) + 1)) as page_no from forms))"""
 
+LEDGERS = f"ledgers as materialized (select concat('ledger_', o_orderkey) as page_id, {LEDGER_DUCKDB} as text from orders)"
+
 NOTICES = "notices as (select concat('doc_', doc_id) as page_id, text from documents)"
 
 ORDER_CELLS = """cells as (

@@ -403,6 +403,27 @@ def table_cells_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_tables(pages, ["lattice"])
 
 
+@query("table_cells_aligned", f"""with {fm.LEDGERS}, {fm.NOTICES},
+all_pages as (select page_id, text from ledgers union all select page_id, text from notices),
+{sql.text_cells('all_pages', 'aligned', 'aligned')}
+select {_CELLS} from aligned""")
+def table_cells_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables whose columns only line up, in ledgers and wherever documents have any."""
+    return text_tables(fm.ledgers(spark, sf_dir).unionByName(fm.notices(spark, sf_dir)), ["aligned"])
+
+
+ALIGNED_TERMS = ["concepto", "cant", "art3", "de metal", "precio", "nota"]
+
+
+@query("aligned_lookup", f"""with {fm.LEDGERS},
+{sql.text_cells('ledgers', 'aligned', 'cells')},
+{sql.lookup('cells', ALIGNED_TERMS)}
+select page_id, term_pos, term, value from lookup""")
+def aligned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookup in such tables, an indented copy counted once."""
+    return tb.table_lookup(text_tables(fm.ledgers(spark, sf_dir), ["aligned"]), ALIGNED_TERMS)
+
+
 @query("table_cell_norm", f"""with raw as (
   select doc_id, row_idx, chr(9) || line || ' ' as cell, ' ' || upper(lang) as header from (
     select doc_id, lang, unnest(string_split(text, chr(10))) as line,

@@ -143,6 +143,8 @@ def number(plain: str, number_type: str) -> str:
 
 def text_cells(pages: str, flavor: str, name: str) -> str:
     """Common table expression `name` with the cells of the tables in the text of `pages`."""
+    if flavor == "aligned":
+        return aligned_cells(pages, name)
     bars = r"regexp_replace(line, '^ *\||\| *$', '', 'g')"
     if flavor == "stream":
         is_row, cells = "regexp_matches(line, '[^ ] {2,}[^ ]')", "string_split_regex(trim(line, ' '), ' {2,}')"
@@ -168,6 +170,39 @@ def text_cells(pages: str, flavor: str, name: str) -> str:
   from (select *, unnest(range(0, greatest(len(names), len(cells)))) as col_idx from {name}_rows where row_idx >= 0))"""
 
 
+def aligned_cells(pages: str, name: str) -> str:
+    """The same for tables whose columns line up: what each place of a run of lines holds, place by place."""
+    return f"""{name}_lines as materialized (
+  select page_id, unnest(lines) as line, unnest(range(0, len(lines))) as line_no
+  from (select page_id, string_split_regex(text, '\\r?\\n') as lines from {pages})),
+{name}_runs as (
+  select page_id, rtrim(line, ' ') as line, line_no,
+         line_no - row_number() over (partition by page_id order by line_no) as run
+  from {name}_lines where regexp_matches(line, '[^ ] {{2,}}[^ ]')),
+{name}_blocks as materialized (
+  select page_id, run, list(line order by line_no) as lines, max(len(line)) as width from {name}_runs group by all having count(*) >= 3),
+{name}_places as (
+  select page_id, run, p, len(list_filter(lines, lambda x: trim(substr(x, p + 1, 1), ' ') <> '')) = 0 as gap,
+         len(list_filter(lines, lambda x: len(x) > p and substr(x, p, 1) = ' ' and p >= 1
+                                          and ((p >= 2 and substr(x, p - 1, 1) = ' ') or substr(x, p + 1, 1) = ' '))) > 0 as wide
+  from (select *, unnest(range(0, width)) as p from {name}_blocks)),
+{name}_firsts as (
+  select page_id, run, p, wide, row_number() over (partition by page_id, run order by p) as nr
+  from (select *, coalesce(lag(gap) over (partition by page_id, run order by p), true) as before from {name}_places)
+  where not gap and before),
+{name}_starts as (
+  select page_id, run, list(p order by p) as starts from {name}_firsts where nr = 1 or wide group by all having count(*) >= 2),
+{name}_rows as materialized (
+  select page_id, dense_rank() over (partition by page_id order by run) - 1 as table_idx, unnest(range(-1, len(lines) - 1)) as row_idx,
+         unnest(lines) as line, lines[1] as top, starts
+  from {name}_blocks join {name}_starts using (page_id, run)),
+{name} as materialized (
+  select page_id, 'aligned' as flavor, 2 as flavor_rank, table_idx, row_idx, col_idx,
+         trim(substr(top, starts[col_idx + 1] + 1, coalesce(starts[col_idx + 2], 100000) - starts[col_idx + 1]), ' ') as header,
+         trim(substr(line, starts[col_idx + 1] + 1, coalesce(starts[col_idx + 2], 100000) - starts[col_idx + 1]), ' ') as cell
+  from (select *, unnest(range(0, len(starts))) as col_idx from {name}_rows where row_idx >= 0))"""
+
+
 NORM_HEADER = f"lower({strip("coalesce(header, '')")})"
 NORM_CELL = "lower(trim(regexp_replace(coalesce(cell, ''), '\\s+', ' ', 'g'), ' '))"
 

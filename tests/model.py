@@ -106,3 +106,24 @@ def extract(pages, terms, patterns, n=0, trace=False, flavors=None, tables=None)
             recorded += [(term.lower(), v, None) for v in lookup(source, term, known)]
         out += [(page, *r) for r in recorded]
     return out
+
+
+def aligned_tables(text):
+    """`[(header, rows)]` of tables whose columns line up."""
+    out, run = [], []
+    for line in [*re.split("\r?\n", text.replace("\0", "")), ""]:
+        if re.search("[^ ] {2,}[^ ]", line):
+            run.append(line.rstrip(" "))
+            continue
+        if len(run) >= 3:
+            width = max(map(len, run))
+            padded = [x.ljust(width) for x in run]
+            gap = [all(x[p] == " " for x in padded) for p in range(width)]
+            starts = [p for p in range(width) if not gap[p] and (p == 0 or gap[p - 1])]
+            starts = [p for i, p in enumerate(starts) if i == 0 or any(
+                len(x) > p and (x[p - 2:p] == "  " or x[p] == " ") for x in run)]
+            if len(starts) > 1:
+                rows = [[x[a:b].strip(" ") for a, b in zip(starts, [*starts[1:], None])] for x in run]
+                out.append((rows[0], rows[1:]))
+        run = []
+    return out

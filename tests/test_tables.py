@@ -177,3 +177,30 @@ def test_extraction_without_tables_terms_or_text(spark):
     assert own.head()["serial"] == "5"
     with pytest.raises(ValueError):
         extract(df, ["total"], n=-1)
+
+
+def test_aligned_tables(each):
+    text = ("Concepto    Cant Precio\nart1 largo    12    1.5\nart2              20.0\nart3 de  x  5000  300.5\n"
+            "prose between\nno  gap here\nxx yy  z\nccc  bbbbbbbbbbbbb\n\na  b\nc  d")
+    want = [(0, ["Concepto", "Cant", "Precio"], [["art1 largo", "12", "1.5"], ["art2", "", "20.0"], ["art3 de  x", "5000", "300.5"]])]
+    assert each(tables_in(each.text, "aligned"), [text, None, "", "one line"]) == [want, [], [], []]
+
+
+def test_aligned_tables_in_random_text_agree_with_plain_rules(each):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(150):
+        widths = [rng.randint(1, 6) for _ in range(rng.randint(1, 4))]
+        lines = []
+        for _ in range(rng.randint(1, 14)):
+            kind = rng.random()
+            if kind < 0.1:
+                lines.append(rng.choice(["", "prose", "a b c d e f g h", " x"]))
+            else:
+                words = [rng.choice(["", "a", "b c", "ñ", "é\U0001f600", "12"])[:w] for w in widths]
+                lines.append(" " * rng.choice([0, 0, 2]) * (kind < 0.2) + "".join(
+                    (x.rjust(w) if kind < 0.5 else x.ljust(w)) + " " * rng.choice([1, 1, 2]) for x, w in zip(words, widths)))
+        texts.append("\n".join(lines))
+    got = each(tables_in(each.text, "aligned"), texts)
+    want = [[(i, h, r) for i, (h, r) in enumerate(model.aligned_tables(t))] for t in texts]
+    assert got == want and sum(map(len, want)) > 30
