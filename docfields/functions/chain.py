@@ -6,6 +6,7 @@ copies of the page text grows with `n`.
 
 from pyspark.sql import Column, functions as F
 
+from docfields.fixed import SNIPPET_WIDTH
 from docfields.functions.casing import fold
 from docfields.functions.search import Patterns, let, search_term
 
@@ -31,14 +32,14 @@ def start(hit: Column) -> Column:
 
 
 def extend(chain_: Column, text: Column, low: Column, n: int, patterns: Patterns | None = None,
-           full_numbers: bool = False, word_boundary: bool = False) -> Column:
+           full_numbers: bool = False, word_boundary: bool = False, width: int = SNIPPET_WIDTH) -> Column:
     """Follow a one-hop chain up to `n` hops; it ends early at the first hop that finds nothing."""
     if n < 2:
         return chain_
 
     def step(acc: Column, hop_no: Column) -> Column:
         def follow(last: Column) -> Column:
-            hit = search_term(text, last["value"], patterns, low, full_numbers, word_boundary)
+            hit = search_term(text, last["value"], patterns, low, full_numbers, word_boundary, width)
             return F.concat(acc, let(hit, start))
 
         alive = F.size(acc) == hop_no

@@ -139,7 +139,7 @@ def resolve(term: Column, by_pattern: Column, found: Column, snippet: Column,
 
 def search_term(text: Column, term: Column | str, patterns: Patterns | None = None,
                 low: Column | None = None, full_numbers: bool = False,
-                word_boundary: bool = False) -> Column:
+                word_boundary: bool = False, width: int = SNIPPET_WIDTH) -> Column:
     """Search one term: catalogue patterns first, then literally. `struct<key, value>`."""
     spelled = F.lit(term) if isinstance(term, str) else term
 
@@ -156,7 +156,7 @@ def search_term(text: Column, term: Column | str, patterns: Patterns | None = No
             F.struct(
                 p["term"].alias("term"), p["pat"].alias("pat"),
                 found_at(text, p["at"], target).alias("found"),
-                snippet_at(text, p["at"], target).alias("snippet"),
+                snippet_at(text, p["at"], target, width).alias("snippet"),
             ),
             lambda q: resolve(q["term"], q["pat"], q["found"], q["snippet"], full_numbers),
         )

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docfields.fixed import FLAVORS
+from docfields.fixed import FLAVORS, SNIPPET_WIDTH
 from docfields.functions import chain as ch
 from docfields.functions.casing import fold
 from docfields.functions.search import (
@@ -29,7 +29,7 @@ def _no_string() -> Column:
 
 
 def _first_search(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None,
-                  serials: bool, word_boundary: bool) -> tuple[DataFrame, Column]:
+                  serials: bool, word_boundary: bool, width: int) -> tuple[DataFrame, Column]:
     """Pages with what the search of all terms shares, and the array with the parts of each search.
 
     Separate projections, so that the folded text, each pattern and each place are worked out once per
@@ -49,7 +49,7 @@ def _first_search(pages: DataFrame, terms: Sequence[str], patterns: Patterns | N
         here = F.col("_at")[i]
         return F.struct(
             F.lit(i).alias("term_pos"), F.lit(term).alias("term"), F.col("_pat")[i].alias("pat"),
-            found_at(text, here, term).alias("found"), snippet_at(text, here, term).alias("snippet"),
+            found_at(text, here, term).alias("found"), snippet_at(text, here, term, width).alias("snippet"),
         )
 
     shared = (
@@ -61,7 +61,7 @@ def _first_search(pages: DataFrame, terms: Sequence[str], patterns: Patterns | N
 
 
 def _follow(parts: Column, n: int, trace: bool, patterns: Patterns | None, full_numbers: bool,
-            word_boundary: bool) -> Column:
+            word_boundary: bool, width: int) -> Column:
     """From the parts of each search to `term_pos, term, key, value, path`, following chains."""
     text, low = F.col("text"), F.col("_low")
 
@@ -82,7 +82,7 @@ def _follow(parts: Column, n: int, trace: bool, patterns: Patterns | None, full_
         ))
 
     def chained(h: Column) -> Column:
-        hops = ch.extend(let(found(h), ch.start), text, low, n, patterns, full_numbers, word_boundary)
+        hops = ch.extend(let(found(h), ch.start), text, low, n, patterns, full_numbers, word_boundary, width)
         return let(hops, lambda hops: followed(h, hops))
 
     def followed(h: Column, hops: Column) -> Column:
@@ -95,17 +95,17 @@ def _follow(parts: Column, n: int, trace: bool, patterns: Patterns | None, full_
 
 def text_hits(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None = None, *, n: int = 0,
               trace: bool = False, serials: bool = False, full_numbers: bool = False,
-              word_boundary: bool = False) -> DataFrame:
+              word_boundary: bool = False, width: int = SNIPPET_WIDTH) -> DataFrame:
     """Search all terms in `pages(page_id, text)`.
 
     One row per page and term: `page_id, serial, term_pos, term, key, value, path`. Key, value and
     path are NULL where the text gives nothing (no hit, or a hit without a value).
     """
     ch.check_hops(n)
-    df, parts = _first_search(pages, terms, patterns, serials, word_boundary)
+    df, parts = _first_search(pages, terms, patterns, serials, word_boundary, width)
     # The whole expression sits inside the generator: a filter on its output cannot be pushed into
     # it, so nothing is searched twice.
-    hits = _follow(parts, n, trace, patterns, full_numbers, word_boundary)
+    hits = _follow(parts, n, trace, patterns, full_numbers, word_boundary, width)
     return df.select("page_id", "serial", F.inline(hits))
 
 
@@ -120,9 +120,9 @@ def _results(rows: DataFrame) -> DataFrame:
 
 def _with_tables_in_text(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None, n: int,
                          trace: bool, serials: bool, flavors: Sequence[str], full_numbers: bool,
-                         word_boundary: bool, sample_rows: int | None) -> DataFrame:
-    df, parts = _first_search(pages, terms, patterns, serials, word_boundary)
-    df = df.withColumn("_hits", _follow(parts, n, trace, patterns, full_numbers, word_boundary))
+                         word_boundary: bool, width: int, sample_rows: int | None) -> DataFrame:
+    df, parts = _first_search(pages, terms, patterns, serials, word_boundary, width)
+    df = df.withColumn("_hits", _follow(parts, n, trace, patterns, full_numbers, word_boundary, width))
     looked_up = [pos for pos, _ in lookup_terms(terms)]
 
     def eligible(h: Column) -> Column:
@@ -191,22 +191,23 @@ def _filled_from(hits: DataFrame, tables: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None = None, *, n: int = 0,
             trace: bool = False, serials: bool = False, cells: DataFrame | None = None,
             flavors: Sequence[str] = FLAVORS, full_numbers: bool = False,
-            word_boundary: bool = False, sample_rows: int | None = None) -> DataFrame:
+            word_boundary: bool = False, width: int = SNIPPET_WIDTH, sample_rows: int | None = None) -> DataFrame:
     """Extract the terms from `pages(page_id, text)` as `image, serial, key, value, path`.
 
     A term without a value in the text is looked up in the page's tables: in `cells` if given, else
     in the tables laid out in the text (`flavors=()` leaves tables out). With `trace` each row shows
     the path of its chain, the key is the last hop's term, and tables are searched after a text hit too.
-    Tables of a page that are equal, or equal in their first `sample_rows` rows, count once.
+    Tables of a page that are equal, or equal in their first `sample_rows` rows, count once. A literal term's value is read
+    from the `width` characters after it.
     """
     options = dict(n=n, trace=trace, serials=serials, full_numbers=full_numbers,
-                   word_boundary=word_boundary)
+                   word_boundary=word_boundary, width=width)
     ch.check_hops(n)
     if not terms:
         return pages.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in RESULT_COLUMNS))
     if cells is None and flavors:
         return _results(_with_tables_in_text(pages, terms, patterns, n, trace, serials, flavors,
-                                             full_numbers, word_boundary, sample_rows))
+                                             full_numbers, word_boundary, width, sample_rows))
     hits = text_hits(pages, terms, patterns, **options)
     if cells is None:
         return _results(hits.where(F.col("value").isNotNull()))
@@ -227,7 +228,7 @@ def extract(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None =
 
 def extract_long(pages: DataFrame, terms: DataFrame, patterns: Patterns | None = None, *, n: int = 0, serials: bool = False,
                  cells: DataFrame | None = None, full_numbers: bool = False, word_boundary: bool = False,
-                 sample_rows: int | None = None) -> DataFrame:
+                 width: int = SNIPPET_WIDTH, sample_rows: int | None = None) -> DataFrame:
     """Extract a long list of literal `terms(term_pos, term)` from `pages(page_id, text)`: `image, serial, key, value, path`.
 
     The rows of `extract` for such terms, with `n` 0 or 1 and without a trace; the plan does not grow with the list. Terms that
@@ -240,7 +241,7 @@ def extract_long(pages: DataFrame, terms: DataFrame, patterns: Patterns | None =
     if fields:
         terms = terms.where(~F.lower("term").isin(fields))
     hits = long_text_hits(pages, terms, full_numbers=full_numbers, serials=serials,
-                          serial_patterns=(patterns or {}).get("serial"), word_boundary=word_boundary)
+                          serial_patterns=(patterns or {}).get("serial"), word_boundary=word_boundary, width=width)
     key = normalize_key(F.col("term")) if n else F.col("key")
     filled = hits.where((F.col("key") != "") & (F.col("value") != "")).withColumn("key", key).withColumn("path", _no_string())
     if cells is None:

@@ -4,7 +4,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfields.fixed import FLAVORS
+from docfields.fixed import FLAVORS, SNIPPET_WIDTH
 from docfields.operators.extract import extract, extract_long
 from docfields.sources.catalog import (
     Catalog, check_doc_type, default_catalog, load_catalog, normalize_catalog, select_terms,
@@ -29,11 +29,13 @@ def run(spark: SparkSession, path: str | DataFrame, doc_type: str, out: str, cat
         extra_terms: str | None = None, n: int = 0, trace: bool = False, serials: bool = False,
         recognise: Callable[[bytes], str | None] | None = None, format: str = "parquet",
         full_numbers: bool = False, word_boundary: bool = False, flavors: Sequence[str] = FLAVORS,
-        cells: DataFrame | None = None, sample_rows: int | None = None, term_list: DataFrame | None = None) -> bool:
+        cells: DataFrame | None = None, sample_rows: int | None = None, term_list: DataFrame | None = None,
+        width: int = SNIPPET_WIDTH, number_type: str = "double", locale: str | None = None, by: Sequence[str] = ()) -> bool:
     """Extract one document type from a folder, or a DataFrame `pages(page_id, text)`, and write the result datasets below `out`.
 
     `catalog` is a catalogue, the path of one, or None for the one in the package. `term_list(term_pos, term)` holds further
-    literal terms, as many as there are; it takes no chains. Returns whether anything was found and written.
+    literal terms, as many as there are; it takes no chains. A literal term's value is read from the `width` characters after
+    it. Numbers are read as in `locale` and summed as `number_type`, apart by the result columns `by`. Returns whether anything was found and written.
     """
     if term_list is not None and (n > 1 or trace):
         raise ValueError("a term list takes n = 0 or 1 and no trace")
@@ -48,10 +50,10 @@ def run(spark: SparkSession, path: str | DataFrame, doc_type: str, out: str, cat
     pages = path if isinstance(path, DataFrame) else read_pages(spark, path, recognise)
     results = extract(pages, terms, loaded[doc_type], n=n, trace=trace, serials=serials,
                       full_numbers=full_numbers, word_boundary=word_boundary, flavors=flavors, cells=cells,
-                      sample_rows=sample_rows)
+                      width=width, sample_rows=sample_rows)
     if term_list is not None:
         found = cells if cells is not None else text_tables(pages, flavors) if flavors else None
         results = results.unionByName(extract_long(
             pages, term_list, loaded[doc_type], n=n, serials=serials, cells=found, full_numbers=full_numbers,
-            word_boundary=word_boundary, sample_rows=sample_rows))
-    return write_results(results, out, format)
+            word_boundary=word_boundary, width=width, sample_rows=sample_rows))
+    return write_results(results, out, format, number_type=number_type, locale=locale, by=by)

@@ -7,7 +7,7 @@ from docfields.sources.files import extract_text, require_files, scan_folder
 from docfields.sources.pages import (
     distinct_pages, explode_pages, names_may_clash, page_path, pages_from_files, without_text,
 )
-from docfields.sources.sinks import save_datasets, write_results
+from docfields.sources.sinks import is_complete, save_datasets, write_results
 
 CATALOG = {"facturas": {"factura": [r"factura: *(\S+)"], "total": [r"\btotal: *(\d[\d.,]*)"]},
            "words": ["Total"]}
@@ -123,3 +123,50 @@ def test_spread(spark, tmp_path):
     assert spread(spark.read.parquet(str(tmp_path / "one"))).rdd.getNumPartitions() == cores
     many = spark.range(0, 100, 1, cores + 1)
     assert spread(many) is many
+
+
+def test_results_are_computed_once_and_nothing_stays_behind(spark, tmp_path):
+    searched = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            searched.add(len(batch))
+            yield batch
+
+    pages = spark.range(40).selectExpr("concat('p', id) as page_id", "concat('total: ', id % 4, ' moneda: ', translate(id, '0123456789', 'abcdefghij')) as text")
+    seen = pages.mapInPandas(counted, "page_id string, text string")
+    out = str(tmp_path / "out")
+    for format in ("parquet", "json"):
+        searched.value = 0
+        assert run(spark, seen, "t", out, {"t": {"total": [r"total: (\d+)"]}}, extra_terms="moneda", format=format)
+        assert searched.value == 40 and is_complete(spark, out)
+        assert [p.name for p in tmp_path.iterdir()] == ["out"]
+        read = {name: spark.read.format(format).load(f"{out}/{name}") for name in ("results", "summed", "strings")}
+        assert [read[name].count() for name in ("results", "summed", "strings")] == [80, 1, 40]
+
+
+def test_a_job_that_fails_leaves_no_marker(spark, tmp_path):
+    out = str(tmp_path / "out")
+    good = spark.createDataFrame([("p", None, "a", "1", None)], "image string, serial string, key string, value string, path string")
+    assert not is_complete(spark, out)
+    assert write_results(good, out) and is_complete(spark, out)
+    with pytest.raises(Exception):
+        write_results(good.withColumn("value", F.raise_error(F.lit("x")).cast("string")), out)
+    # It failed before anything was put in place, so what is there is still the last job's.
+    assert is_complete(spark, out) and spark.read.parquet(f"{out}/results").count() == 1
+    with pytest.raises(Exception):
+        write_results(good, out, format="no such format")
+    assert not is_complete(spark, out) and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_switches_of_the_job(spark, tmp_path):
+    pages = spark.createDataFrame([("p", "total: 1.234,5 nota " + "-" * 30 + " a"), ("q", "total: 2")], "page_id string, text string")
+    catalog = {"t": {"total": [r"total: (\S+)"]}}
+    out = str(tmp_path / "out")
+    assert run(spark, pages, "t", out, catalog, extra_terms="nota", flavors=(), locale="es", number_type="decimal(18,2)", by=["image"])
+    assert sorted((r["image"], str(r["value"])) for r in spark.read.parquet(f"{out}/summed").collect()) == [("p", "1234.50"), ("q", "2.00")]
+    long = spark.createDataFrame([("p", "nota " + ". " * 60 + "77")], "page_id string, text string")
+    assert not run(spark, long, "t", out + "1", catalog, extra_terms="nota", flavors=())
+    for extra in ({"extra_terms": "nota"}, {"term_list": spark.createDataFrame([(0, "nota")], "term_pos int, term string")}):
+        assert run(spark, long, "t", out + "1", catalog, flavors=(), width=200, **extra)
+        assert spark.read.parquet(f"{out}1/results").head()["value"] == "77"
