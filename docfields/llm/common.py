@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Rows in one Arrow batch of whole texts; texts of some kilobytes keep a batch at a few megabytes.
 TEXT_BATCH = 1000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Bytes of text in one run of rows where rows are bounded by bytes.
 TEXT_BYTES = 1 << 20
 
@@ -35,6 +36,20 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, **options: str) -> DataFrame:
+    """`written`, after which the files of the shuffles that led there are removed; they are of no more use."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return written(df, **options)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
              schema: str, rows: int = TEXT_BATCH) -> DataFrame:
     """`function` over the Arrow batches of `df`, at most `rows` rows each."""

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import by_batch, written
+from docfields.llm.common import by_batch, settled
 
 LENGTH = 200
 REACH = 100
@@ -324,17 +324,17 @@ def repeats(texts: DataFrame, length: int = LENGTH, reach: int = REACH) -> DataF
     heads = groups.groupBy("head").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("kinds"),
                                        F.sum((F.col("n") == 1).cast("long")).alias("single")).where("rows > 1")
     # Of surroundings that are found more than once, one anchor stands for all where others of the class are open.
-    kinds = written(groups.join(heads, "head").where((F.col("n") > 1) | (F.col("kinds") > 1)).select(
+    kinds = settled(groups.join(heads, "head").where((F.col("n") > 1) | (F.col("kinds") > 1)).select(
         "head", "around", "around2", "n", ((F.col("kinds") > 1) & (F.col("single") > 0)).alias("open"),
         (F.col("kinds") > LARGE).alias("many")))
-    known = written(found.join(kinds, ["head", "around", "around2"]))
-    settled = known.where("n > 1").selectExpr("id_key", "text_key", "low as start", f"high + {length} as stop")
+    known = settled(found.join(kinds, ["head", "around", "around2"]))
+    plain = known.where("n > 1").selectExpr("id_key", "text_key", "low as start", f"high + {length} as stop")
     one = F.struct("id_key", "text_key", "place", "low", "high", "many")
     stands = known.where("n > 1 and open").groupBy("head", "around", "around2").agg(F.min(one).alias("m")).select("m.*")
-    members = written(known.where("n = 1").select("id_key", "text_key", "place", "low", "high", "many").union(stands))
+    members = settled(known.where("n = 1").select("id_key", "text_key", "place", "low", "high", "many").union(stands))
     sizes = {r["many"]: r["count"] for r in members.groupBy("many").count().collect()}
-    cut = written(surroundings(texts, members, length)) if sizes else None
-    out = settled
+    cut = settled(surroundings(texts, members, length)) if sizes else None
+    out = plain
     if sizes.get(False):
         out = out.union(sorted_apart(cut.where("not many"), length, reach, sizes[False]))
     if sizes.get(True):
