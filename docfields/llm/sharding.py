@@ -1,25 +1,31 @@
-"""Shards of near-equal bytes for indivisible groups, by Karmarkar-Karp differencing on two levels.
+"""Shards of near-equal bytes for indivisible groups, by Karmarkar-Karp differencing on levels.
 
-Every task differences its own groups into `BUNDLES` bundles: the two partial partitions of largest spread
-are combined, oppositely ordered, until one is left. The driver does the same with all bundles as items, a
-number that depends on the tasks and not on the rows. A ramp of virtual sizes makes the bundles of a task
-differ in size, which gives the second level items fine enough to even out whatever one huge group upsets.
+Groups are dealt to pieces by a hash, a number of pieces that depends on the number of groups and not on the partitions. Every
+piece is differenced into `BUNDLES` bundles: the two partial partitions of largest spread are combined, oppositely ordered,
+until one is left. The bundles are the items of the next level, as long as there are more than `ITEMS` of them; the driver
+differences the last ones into shards. A ramp of virtual sizes makes the bundles of a piece differ in size, which gives the
+next level items fine enough to even out whatever one huge group upsets. There are `PIECES` pieces at least, so the last level
+has 50 times as many items as shards, or all groups themselves.
 
 Defined results: a null text counts as an empty one and shares its group; equal texts share a shard; an empty
-table gives an empty one; rows that are repeated are all placed, each with a slot of its own.
+table gives an empty one; rows that are repeated are all placed, each with a slot of its own; a null id is an id like any
+other; a very long text is one group and never cut; other columns are not looked at, whatever their names.
 """
 
 import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.common import written
+from docfields.llm.common import settled
 
 BUNDLES = 64
+# Pieces at least, groups in a piece at most on average, and items of the driver at most.
+PIECES = 32
+PIECE = 20_000
+ITEMS = 1 << 16
 SLOT_BUCKETS = 512
 ROW_BYTES = 8
 
@@ -63,22 +69,18 @@ def difference(sizes: list[int], ways: int, ramp: bool = False) -> list[int]:
     return [where[i][0] for i in range(len(sizes))]
 
 
-def bundled(groups: DataFrame, bundles: int) -> DataFrame:
-    """`groups(key, bytes)` with `task, bundle`; every task differences the groups it holds."""
-    def run(batches):
-        parts = list(batches)
-        if parts:
-            table = pa.Table.from_batches(parts)
-            sizes = table.column("bytes").to_numpy()
-            order = np.argsort(-sizes, kind="stable")
-            ways = difference(sizes[order].tolist(), bundles, ramp=True)
-            bundle = np.empty(len(sizes), np.int32)
-            bundle[order] = ways
-            task = np.full(len(sizes), TaskContext.get().partitionId(), np.int32)
-            yield from pa.table({"key": table.column("key"), "bytes": table.column("bytes"),
-                                 "task": task, "bundle": bundle}).to_batches()
+def bundled(items: DataFrame, pieces: int, bundles: int) -> DataFrame:
+    """`items(key, bytes)` with `bundle`, a number over all pieces; every piece is differenced by itself."""
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table.column("bytes").to_numpy()
+        order = np.argsort(-sizes, kind="stable")
+        bundle = np.empty(len(sizes), np.int64)
+        bundle[order] = difference(sizes[order].tolist(), bundles, ramp=True)
+        return pa.table({"key": table.column("key"), "bytes": table.column("bytes"),
+                         "bundle": bundle + table.column("piece")[0].as_py() * bundles})
 
-    return groups.mapInArrow(run, "key binary, bytes long, task int, bundle int")
+    dealt = items.withColumn("piece", F.pmod(F.xxhash64("key"), F.lit(pieces)))
+    return dealt.groupBy("piece").applyInArrow(run, f"key {items.schema['key'].dataType.simpleString()}, bytes long, bundle long")
 
 
 def shard(docs: DataFrame, shards: int = 24, id_column: str = "doc_id", text_column: str = "text", *,
@@ -89,24 +91,29 @@ def shard(docs: DataFrame, shards: int = 24, id_column: str = "doc_id", text_col
     rows = docs.select(
         F.col(id_column).alias("id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key"))
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    placed = written(bundled(groups, bundles))
-    items = placed.groupBy("task", "bundle").agg(F.sum("bytes").alias("bytes")).orderBy("task", "bundle").collect()
-    ways = difference([r["bytes"] for r in items], shards)
-    where = spark.createDataFrame([(r["task"], r["bundle"], w) for r, w in zip(items, ways)],
-                                  "task int, bundle int, shard int")
-    chosen = placed.join(where, ["task", "bundle"]).select("key", "shard")
-    return slots(rows.join(chosen, "key").drop("key")).withColumnRenamed("id", id_column)
+    items = settled(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
+    n, chosen = items.count(), None
+    while chosen is None or n > ITEMS:
+        placed = settled(bundled(items, max(PIECES, -(-n // PIECE)), bundles)).select("key", "bytes", "bundle")
+        items = settled(placed.groupBy(F.col("bundle").alias("key")).agg(F.sum("bytes").alias("bytes")))
+        here = placed.select("key", "bundle")
+        chosen = here if chosen is None else chosen.join(here.toDF("bundle", "next"), "bundle").select("key", F.col("next").alias("bundle"))
+        n = items.count()
+    last = items.orderBy(F.col("bytes").desc(), "key").collect()
+    ways = difference([r["bytes"] for r in last], shards)
+    where = spark.createDataFrame([(r["key"], w) for r, w in zip(last, ways)], "bundle long, shard int")
+    named = chosen.join(where, "bundle").select("key", "shard")
+    return slots(rows.join(named, "key").drop("key")).withColumnRenamed("id", id_column)
 
 
 def slots(rows: DataFrame) -> DataFrame:
     """`rows(id, …, shard)` with gapless `slot` numbers per shard.
 
-    A shard is numbered in buckets of hashed ids, so that no task holds a shard; the rows before a bucket
+    A shard is numbered in buckets of hashed rows, so that no task holds a shard, nor all rows of one id; the rows before a bucket
     are added up over `shards` x `SLOT_BUCKETS` counts.
     """
-    bucket = F.pmod(F.xxhash64("id"), F.lit(SLOT_BUCKETS)).cast("int")
-    dealt = written(rows.withColumn("bucket", bucket))
+    bucket = F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(SLOT_BUCKETS)).cast("int")
+    dealt = settled(rows.withColumn("bucket", bucket))
     counts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = counts.selectExpr(
         "shard", "bucket", "sum(n) over (partition by shard order by bucket) - n as before")

@@ -68,6 +68,22 @@ def test_differencing_is_near_equal():
     assert sharding.difference([], 3) == [] and set(sharding.difference([1, 1, 1], 3)) == {0, 1, 2}
 
 
+def test_shards_are_near_equal_on_one_partition(spark):
+    """24 shards of the given documents: the result doesn't depend on partitions, and the spread is at most 0.1 %."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    df = df.union(df.selectExpr("cast(null as long)", "concat(text, ' again')")).coalesce(1)
+    placed = sharding.shard(df, 24).collect()
+    load, count, slots = Counter(), Counter(), defaultdict(set)
+    for r in placed:
+        load[r["shard"]] += r["size"]
+        count[r["shard"]] += 1
+        slots[r["shard"]].add(r["slot"])
+    assert len(placed) == 2000 and len(load) == 24 and all(slots[s] == set(range(count[s])) for s in load)
+    mean = sum(load.values()) / 24
+    assert (max(load.values()) - min(load.values())) / mean <= 0.001
+    assert Counter(r["shard"] for r in sharding.shard(df.repartition(9), 24).collect()) == count
+
+
 def test_shards(spark):
     rnd = random.Random(3)
     texts = [None, "", "big" * 2000] + ["hot copy"] * 200 + ["".join(rnd.choices("abcé", k=rnd.randrange(400))) for _ in range(600)]
