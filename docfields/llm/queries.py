@@ -96,9 +96,11 @@ QUERIES: dict[str, Query] = {
     "op13_jaccard_join": op13_jaccard_join,
 }
 
-# Phrases of k words: a piece's words from every place on.
+# Phrases of k words, as text: a piece's words from every place on.
 _GRAMS = "\n union all ".join(
-    f"select lang, list_slice(w, i, i + {k - 1}) as g from placed where i + {k - 1} <= len(w)" for k in (1, 2, 3, 4))
+    "select lang, " + " || ' ' || ".join(f"w[i{f' + {j}' if j else ''}]" for j in range(k)) + f" as g, {k} as size, "
+    + (" || ' ' || ".join(f"w[i{f' + {j}' if j else ''}]" for j in range(k - 1)) or "null") + " as head, "
+    + (" || ' ' || ".join(f"w[i + {j}]" for j in range(1, k)) or "null") + f" as tail from placed where i + {k - 1} <= len(w)" for k in (1, 2, 3, 4))
 
 ORACLE: dict[str, str] = {
     "op12_collocations": f"""
@@ -107,28 +109,33 @@ ORACLE: dict[str, str] = {
                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '[.,;:!?\\x0A-\\x0D]')) as piece
             from documents
-        ), split as (
+        ), split as materialized (
             select lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') as w from pieces
-        ), placed as (select lang, w, unnest(range(1, len(w) + 1)) as i from split),
-        f as (select lang, g, count(*) as a from ({_GRAMS}) group by lang, g),
+        ), placed as materialized (select lang, w, unnest(range(1, len(w) + 1)) as i from split),
+        f as materialized (
+            select lang, g, size, any_value(head) as head, any_value(tail) as tail, count(*) as a from ({_GRAMS})
+            group by lang, g, size having count(*) >= 30
+        ),
         n as (select lang, cast(sum(len(w)) as bigint) as n from split group by lang),
-        c as (select * from f where len(g) > 1 and a >= 30),
-        inner_ as (
-            select lang, unnest([g[1:len(g) - 1], g[2:len(g)]]) as g, a from c where len(g) > 2
-            union all select lang, unnest([g[1:2], g[2:3], g[3:4]]) as g, a from c where len(g) = 4
-        ), held as (select lang, g, max(a) as longer from inner_ group by lang, g),
+        c as (select *, string_split(g, ' ') as w from f where size > 1),
+        held as materialized (
+            select lang, g, max(a) as longer from (
+                select lang, head as g, a from f where size > 2 union all select lang, tail, a from f where size > 2) group by lang, g
+        ),
         cuts as (
-            select c.lang, c.g, c.a, k, x.a as l, y.a as r,
-                   cast(2000000 * c.a::hugeint // (x.a + y.a) as bigint) as score
-            from (select *, unnest(range(1, len(g))) as k from c) c
-            join f x on x.lang = c.lang and x.g = c.g[1:k]
-            join f y on y.lang = c.lang and y.g = c.g[k + 1:len(c.g)]
+            select c.lang, c.g, c.a, k, array_to_string(w[1:k], ' ') as x, array_to_string(w[k + 1:size], ' ') as y
+            from (select *, unnest(range(1, size)) as k from c) c
+        ),
+        scored as (
+            select t.lang, t.g, t.a, k, p.a as l, q.a as r, cast(2000000 * t.a::hugeint // (p.a + q.a) as bigint) as score
+            from cuts t join f p on p.lang = t.lang and p.g = t.x join f q on q.lang = t.lang and q.g = t.y
         ), best as (
-            select * from cuts qualify row_number() over (partition by lang, g order by score, k) = 1
+            select * from scored qualify row_number() over (partition by lang, g order by score, k) = 1
         ), ranked as (
-            select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank,
-                   array_to_string(g, ' ') as phrase, a, l, r, score
-            from best where not exists (select 1 from held h where h.lang = best.lang and h.g = best.g and 100 * h.longer >= 80 * best.a)
+            select best.lang, row_number() over (partition by best.lang order by score desc, best.a desc, best.g) as rank,
+                   best.g as phrase, best.a, l, r, score
+            from best left join held h on h.lang = best.lang and h.g = best.g
+            where coalesce(100 * h.longer < 80 * best.a, true)
         )
         select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000""",
     # The k-th best score cuts off; every query meets every row but its own.
