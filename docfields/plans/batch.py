@@ -9,7 +9,8 @@ from docfields.operators.extract import extract, extract_long
 from docfields.sources.catalog import (
     Catalog, check_doc_type, default_catalog, load_catalog, normalize_catalog, select_terms,
 )
-from docfields.sources.files import extract_text, require_files, scan_folder
+from docfields.plans.materialize import materialize
+from docfields.sources.files import attempt_text, failures, require_files, scan_folder
 from docfields.sources.pages import distinct_pages, names_may_clash, pages_from_files
 from docfields.sources.sinks import write_results
 from docfields.sources.text_tables import text_tables
@@ -18,10 +19,22 @@ from docfields.sources.text_tables import text_tables
 def read_pages(spark: SparkSession, path: str,
                recognise: Callable[[bytes], str | None] | None = None) -> DataFrame:
     """The pages of all documents in a folder; raises FileNotFoundError if there are none."""
+    return attempted_pages(spark, path, recognise)[0]
+
+
+def attempted_pages(spark: SparkSession, path: str,
+                    recognise: Callable[[bytes], str | None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pages, and the files that could not be read: `path, kind, message`.
+
+    Recognition is dear, so its outcome is written once and both are read from there.
+    """
     files = require_files(scan_folder(spark, path), path)
-    pages = pages_from_files(extract_text(files, recognise))
+    attempts = attempt_text(files, recognise)
+    if recognise is not None:
+        attempts = materialize(attempts)
+    pages = pages_from_files(attempts.select("path", "text"))
     # Making names distinct shuffles the text, so it is done only if names can clash at all.
-    return distinct_pages(pages) if names_may_clash(files) else pages
+    return distinct_pages(pages) if names_may_clash(files) else pages, failures(attempts)
 
 
 def run(spark: SparkSession, path: str | DataFrame, doc_type: str, out: str, catalog: Catalog | str | None = None,
@@ -35,7 +48,8 @@ def run(spark: SparkSession, path: str | DataFrame, doc_type: str, out: str, cat
 
     `catalog` is a catalogue, the path of one, or None for the one in the package. `term_list(term_pos, term)` holds further
     literal terms, as many as there are; it takes no chains. A literal term's value is read from the `width` characters after
-    it. Numbers are read as in `locale` and summed as `number_type`, apart by the result columns `by`. Returns whether anything was found and written.
+    it. Numbers are read as in `locale` and summed as `number_type`, apart by the result columns `by`. Files that could
+    not be read are a dataset `errors` of their own, written if there are any, also where nothing is found. Returns whether anything was found and written.
     """
     if term_list is not None and (n > 1 or trace):
         raise ValueError("a term list takes n = 0 or 1 and no trace")
@@ -47,7 +61,7 @@ def run(spark: SparkSession, path: str | DataFrame, doc_type: str, out: str, cat
         loaded = normalize_catalog(catalog)
     check_doc_type(loaded, doc_type)
     terms = select_terms(loaded, doc_type, extra_terms)
-    pages = path if isinstance(path, DataFrame) else read_pages(spark, path, recognise)
+    pages, failed = (path, None) if isinstance(path, DataFrame) else attempted_pages(spark, path, recognise)
     results = extract(pages, terms, loaded[doc_type], n=n, trace=trace, serials=serials,
                       full_numbers=full_numbers, word_boundary=word_boundary, flavors=flavors, cells=cells,
                       width=width, sample_rows=sample_rows)
@@ -56,4 +70,4 @@ def run(spark: SparkSession, path: str | DataFrame, doc_type: str, out: str, cat
         results = results.unionByName(extract_long(
             pages, term_list, loaded[doc_type], n=n, serials=serials, cells=found, full_numbers=full_numbers,
             word_boundary=word_boundary, width=width, sample_rows=sample_rows))
-    return write_results(results, out, format, number_type=number_type, locale=locale, by=by)
+    return write_results(results, out, format, number_type=number_type, locale=locale, by=by, failed=failed)

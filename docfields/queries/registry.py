@@ -20,6 +20,7 @@ from docfields.queries.forms import read, read_spread
 from docfields.sources.catalog import (
     explode_catalogs, extra_terms_column, term_patterns, word_pattern_column,
 )
+from docfields.sources.files import try_files
 from docfields.sources.pages import distinct_pages, explode_pages, page_path, without_text
 from docfields.sources.text_tables import text_tables
 
@@ -123,6 +124,35 @@ def normalize_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*_LINE_KEY, "n.*")
 
 
+# -- files -----------------------------------------------------------------------------------------
+
+def _recognised(content: bytes) -> str | None:
+    """A reader that fails on some contents, returns nothing for others and upper-cases the first word of the rest."""
+    if len(content) % 7 == 0:
+        raise ValueError(f"length {len(content)}")
+    if len(content) % 11 == 0:
+        return None
+    return content[:len(content) % 5].decode("ascii").lower() + ":" + str(len(content.decode("utf-8")))
+
+
+@query("file_failures", """select concat('/docs/', doc_id) as path,
+  case when n % 7 = 0 or n % 11 = 0 or not regexp_full_match(lead, '[\\x00-\\x7F]*') then null
+       else concat(lower(lead), ':', length(text)) end as text,
+  case when n % 7 = 0 then 'ValueError' when n % 11 = 0 then null
+       when not regexp_full_match(lead, '[\\x00-\\x7F]*') then 'UnicodeDecodeError' end as kind,
+  case when n % 7 = 0 then concat('length ', n) end as message,
+  1 as tries from (select *, strlen(text) as n,
+  left(text, cast(strlen(text) % 5 as int)) as lead from documents)""")
+def file_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as file contents, a third of which cannot be read: texts, and the errors of the others."""
+    files = read_spread(spark, sf_dir, "documents", "doc_id", "text").select(
+        F.concat(F.lit("/docs/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
+    tried = try_files(files, _recognised)
+    own = F.col("error.kind") == "ValueError"
+    return tried.select("path", "text", F.col("error.kind").alias("kind"),
+                        F.when(own, F.col("error.message")).alias("message"), F.lit(1).alias("tries"))
+
+
 # -- catalogue --------------------------------------------------------------------------------------
 
 @query("catalog_flat", """with regexes as (

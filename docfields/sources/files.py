@@ -2,7 +2,7 @@
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,22 +40,60 @@ def require_files(files: DataFrame, path: str) -> DataFrame:
     return files
 
 
-def map_files(files: DataFrame, fn: Callable[[bytes], str | None]) -> DataFrame:
-    """Apply `fn` to the content of each file in parallel: `path, text`.
+ATTEMPT = "path string, text string, error struct<kind:string,message:string>"
+# Bytes of text that a task puts by before it hands them on; Spark bounds the batches that come in by bytes as well.
+HANDED_ON = 4 << 20
+
+
+def try_files(files: DataFrame, fn: Callable[[bytes], str | None]) -> DataFrame:
+    """Apply `fn` to the content of each file in parallel: `path, text, error`.
 
-    An error in `fn` gives NULL for that file and does not stop the job.
+    An error in `fn` stops neither the job nor the batch: the file's text is NULL and `error` tells its kind and message. Without
+    an error, text is what `fn` returns, which may be NULL. A task holds one batch of files and a few megabytes of text,
+    however many files there are.
     """
-    def guarded(content: bytes) -> str | None:
+    def attempt(content: bytes | None) -> tuple[str | None, dict[str, str] | None]:
         try:
-            return fn(bytes(content))
-        except Exception:
-            return None
+            text = fn(content if content is not None else b"")
+            if text is not None and not isinstance(text, str):
+                raise TypeError(f"text expected, not {type(text).__name__}")
+            # What isn't valid text fails here and not where the batch is put together.
+            if text is not None:
+                text.encode("utf-8")
+            return text, None
+        except Exception as exc:
+            return None, {"kind": type(exc).__name__, "message": str(exc).encode("utf-8", "replace").decode("utf-8")}
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.string(), pa.string(), pa.struct([("kind", pa.string()), ("message", pa.string())])
+        paths, texts, errors, held = [], [], [], 0
+
+        def handed_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((paths, texts, errors), kinds)], ["path", "text", "error"])
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "text": [guarded(c) for c in batch["content"]]})
+            for path, content in zip(batch.column(0), batch.column(1)):
+                text, error = attempt(content.as_py())
+                paths.append(path.as_py())
+                texts.append(text)
+                errors.append(error)
+                held += len(text or "")
+                if held >= HANDED_ON:
+                    yield handed_on()
+                    paths, texts, errors, held = [], [], [], 0
+        yield handed_on()
+
+    return files.select("path", "content").mapInArrow(apply, ATTEMPT)
+
+
+def map_files(files: DataFrame, fn: Callable[[bytes], str | None]) -> DataFrame:
+    """`path, text` of `try_files`: NULL for a file that `fn` fails on."""
+    return try_files(files, fn).select("path", "text")
+
 
-    return files.select("path", "content").mapInPandas(apply, "path string, text string")
+def failures(attempts: DataFrame) -> DataFrame:
+    """`path, kind, message` of the files that failed."""
+    return attempts.where(F.col("error").isNotNull()).select("path", "error.kind", "error.message")
 
 
 def utf8_text(content: Column) -> Column:
@@ -63,11 +101,18 @@ def utf8_text(content: Column) -> Column:
     return F.try_validate_utf8(content.cast("string"))
 
 
-def extract_text(files: DataFrame, fn: Callable[[bytes], str | None] | None = None) -> DataFrame:
-    """`path, text` of `files`: by `fn` (a text recogniser, say), else by reading UTF-8.
+def attempt_text(files: DataFrame, fn: Callable[[bytes], str | None] | None = None) -> DataFrame:
+    """`path, text, error` of `files`: by `fn` (a text recogniser, say), else by reading UTF-8.
 
-    Text is as recognised; page breaks in it are form feeds. NULL marks a failure.
+    Text is as recognised; page breaks in it are form feeds. A file whose text cannot be read has NULL text and an error.
     """
     if fn is not None:
-        return map_files(files, fn)
-    return files.select("path", utf8_text(F.col("content")).alias("text"))
+        return try_files(files, fn)
+    error = F.struct(F.lit("UnicodeDecodeError").alias("kind"), F.lit("not valid UTF-8").alias("message"))
+    read = files.select("path", "content", utf8_text(F.col("content")).alias("text"))
+    return read.select("path", "text", F.when(F.col("text").isNull() & F.col("content").isNotNull(), error).alias("error"))
+
+
+def extract_text(files: DataFrame, fn: Callable[[bytes], str | None] | None = None) -> DataFrame:
+    """`path, text` of `attempt_text`; NULL marks a failure."""
+    return attempt_text(files, fn).select("path", "text")

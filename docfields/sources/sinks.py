@@ -5,6 +5,7 @@ there in one aggregate, and put in place. The marker `_COMPLETE` is taken away f
 heeds it never takes part of a job for a whole one. The staging folder is removed in every case.
 """
 
+import logging
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from docfields.operators.rollup import rollup_both, strings, sums
 
+log = logging.getLogger(__name__)
 MARKER = "_COMPLETE"
 
 
@@ -78,18 +80,27 @@ def is_complete(spark: SparkSession, out: str) -> bool:
 
 
 def write_results(results: DataFrame, out: str, format: str = "parquet", mode: str = "overwrite",
-                  number_type: str = "double", locale: str | None = None, by: Sequence[str] = ()) -> bool:
+                  number_type: str = "double", locale: str | None = None, by: Sequence[str] = (),
+                  failed: DataFrame | None = None) -> bool:
     """Write `results`, `summed` and `strings` below `out` if there is any result.
 
     Returns whether anything was written; without a sum or string, `out` is not touched. `by` names columns of the results
-    that sums and strings are kept apart by.
+    that sums and strings are kept apart by. `failed` becomes the dataset `errors` if it has rows, whatever the results.
     """
     spark = results.sparkSession
     found = Observation()
     filled = F.col("key").isNotNull() & F.col("value").isNotNull()
     with staging(spark, out) as stage:
         results.observe(found, F.count(F.when(filled, 1)).alias("n")).write.parquet(f"{stage.path}/results")
+        lost = Observation()
+        if failed is not None:
+            failed.observe(lost, F.count(F.lit(1)).alias("n")).write.parquet(f"{stage.path}/errors")
+        errors = {}
+        if failed is not None and lost.get["n"]:
+            log.warning("%d files could not be read, see %s/errors", lost.get["n"], out)
+            errors = {"errors": spark.read.schema(failed.schema).parquet(f"{stage.path}/errors")}
         if found.get["n"] == 0:
+            save_datasets(spark, errors, out, format, mode)
             return False
         staged = spark.read.schema(results.schema).parquet(f"{stage.path}/results")
         # The roll-up has one row for a key and a string; it is computed once for both datasets.
@@ -98,7 +109,7 @@ def write_results(results: DataFrame, out: str, format: str = "parquet", mode: s
         both = spark.read.schema(both.schema).parquet(f"{stage.path}/both")
         target = Folder(spark, out)
         target.remove(MARKER)
-        save_datasets(spark, {"summed": sums(both), "strings": strings(both)}, out, format, mode)
+        save_datasets(spark, {**errors, "summed": sums(both), "strings": strings(both)}, out, format, mode)
         moved = format == "parquet" and mode == "overwrite" and target.take(stage, "results")
         if not moved:
             save_datasets(spark, {"results": staged}, out, format, mode)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from docfields.plans.batch import read_pages, run
 from docfields.plans.spread import spread
-from docfields.sources.files import extract_text, require_files, scan_folder
+from docfields.sources.files import extract_text, require_files, scan_folder, try_files
 from docfields.sources.pages import (
     distinct_pages, explode_pages, names_may_clash, page_path, pages_from_files, without_text,
 )
@@ -105,7 +105,8 @@ def test_whole_job_with_default_catalogue_and_formats(spark, folder, tmp_path):
 
 def test_nothing_found_writes_nothing(spark, folder, tmp_path):
     out = tmp_path / "none"
-    assert run(spark, folder, "a", str(out), {"a": ["zzz"]}) is False
+    pages = read_pages(spark, folder)
+    assert run(spark, pages, "a", str(out), {"a": ["zzz"]}) is False
     assert not out.exists()
     nulls = spark.createDataFrame([("i", None, None, "v", None)], "image string, serial string, key string, value string, path string")
     assert write_results(nulls, str(out)) is False and not out.exists()
@@ -170,3 +171,30 @@ def test_switches_of_the_job(spark, tmp_path):
     for extra in ({"extra_terms": "nota"}, {"term_list": spark.createDataFrame([(0, "nota")], "term_pos int, term string")}):
         assert run(spark, long, "t", out + "1", catalog, flavors=(), width=200, **extra)
         assert spark.read.parquet(f"{out}1/results").head()["value"] == "77"
+
+
+def test_failures_become_a_dataset(spark, folder, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def recognise(content):
+        calls.add(1)
+        if content.startswith(b"\xff"):
+            raise RuntimeError("unreadable \ud800")
+        return 7 if b"nada" in content else content.decode()
+
+    out = str(tmp_path / "out")
+    assert run(spark, folder, "facturas", out, CATALOG, recognise=recognise)
+    got = {(r["path"].rsplit("/", 1)[1], r["kind"], r["message"]) for r in spark.read.parquet(f"{out}/errors").collect()}
+    assert got == {("d.png", "RuntimeError", "unreadable ?"), ("h.pdf", "RuntimeError", "unreadable ?"), ("g.tiff", "TypeError", "text expected, not int")}
+    assert calls.value == 6
+    # Without a function it is what isn't UTF-8, and it is told also where nothing is found.
+    out = str(tmp_path / "none")
+    assert run(spark, folder, "a", out, {"a": ["zzz"]}) is False
+    assert {r["kind"] for r in spark.read.parquet(f"{out}/errors").collect()} == {"UnicodeDecodeError"}
+    assert not is_complete(spark, out)
+
+
+def test_many_large_files_are_handed_on_in_parts(spark):
+    files = spark.range(0, 60, 1, 1).selectExpr("concat('f', id) as path", "cast(repeat('x', 1000000) as binary) as content")
+    tried = try_files(files, lambda c: None if len(c) == 3 else c.decode())
+    assert tried.selectExpr("sum(length(text)) as n", "count(error) as e").collect()[0][:] == (60_000_000, 0)
