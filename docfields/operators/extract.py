@@ -29,7 +29,7 @@ def _no_string() -> Column:
 
 
 def _first_search(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None,
-                  serials: bool, word_boundary: bool, width: int) -> tuple[DataFrame, Column]:
+                  serials: bool, word_boundary: bool, width: int, layered: bool = False) -> tuple[DataFrame, Column]:
     """Pages with what the search of all terms shares, and the array with the parts of each search.
 
     Separate projections, so that the folded text, each pattern and each place are worked out once per
@@ -52,10 +52,11 @@ def _first_search(pages: DataFrame, terms: Sequence[str], patterns: Patterns | N
             found_at(text, here, term).alias("found"), snippet_at(text, here, term, width).alias("snippet"),
         )
 
+    kept = ["page_id", "text", *(["no_text"] if layered else [])]
     shared = (
-        pages.select("page_id", "text", fold(text).alias("_low"))
-        .select("page_id", "text", "_low", serial.alias("serial"), by_pattern.alias("_pat"))
-        .select("page_id", "text", "_low", "serial", "_pat", at.alias("_at"))
+        pages.select(*kept, fold(text).alias("_low"))
+        .select(*kept, "_low", serial.alias("serial"), by_pattern.alias("_pat"))
+        .select(*kept, "_low", "serial", "_pat", at.alias("_at"))
     )
     return shared, F.array(*[parts(i, t) for i, t in enumerate(terms)])
 
@@ -120,8 +121,8 @@ def _results(rows: DataFrame) -> DataFrame:
 
 def _with_tables_in_text(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None, n: int,
                          trace: bool, serials: bool, flavors: Sequence[str], full_numbers: bool,
-                         word_boundary: bool, width: int, sample_rows: int | None) -> DataFrame:
-    df, parts = _first_search(pages, terms, patterns, serials, word_boundary, width)
+                         word_boundary: bool, width: int, sample_rows: int | None, skip: Sequence[str]) -> DataFrame:
+    df, parts = _first_search(pages, terms, patterns, serials, word_boundary, width, bool(skip))
     df = df.withColumn("_hits", _follow(parts, n, trace, patterns, full_numbers, word_boundary, width))
     looked_up = [pos for pos, _ in lookup_terms(terms)]
 
@@ -153,6 +154,10 @@ def _with_tables_in_text(pages: DataFrame, terms: Sequence[str], patterns: Patte
         return F.concat(F.filter(F.array(from_text), lambda r: r["value"].isNotNull()), from_tables)
 
     tables = page_tables(F.col("text"), flavors, sample_rows=sample_rows)
+    if skip:
+        others = [f for f in flavors if f not in skip]
+        fewer = page_tables(F.col("text"), others, sample_rows=sample_rows) if others else F.filter(tables, lambda _: F.lit(False))
+        tables = F.when(F.col("no_text"), fewer).otherwise(tables)
     empty = F.filter(tables, lambda _: F.lit(False))
     df = df.withColumn("_tables", F.when(F.exists("_hits", eligible), tables).otherwise(empty))
     return df.select("page_id", "serial", F.inline(F.flatten(F.transform("_hits", rows))))
@@ -191,14 +196,16 @@ def _filled_from(hits: DataFrame, tables: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None = None, *, n: int = 0,
             trace: bool = False, serials: bool = False, cells: DataFrame | None = None,
             flavors: Sequence[str] = FLAVORS, full_numbers: bool = False,
-            word_boundary: bool = False, width: int = SNIPPET_WIDTH, sample_rows: int | None = None) -> DataFrame:
+            word_boundary: bool = False, width: int = SNIPPET_WIDTH, sample_rows: int | None = None,
+            skip_without_text: Sequence[str] = ()) -> DataFrame:
     """Extract the terms from `pages(page_id, text)` as `image, serial, key, value, path`.
 
     A term without a value in the text is looked up in the page's tables: in `cells` if given, else
     in the tables laid out in the text (`flavors=()` leaves tables out). With `trace` each row shows
     the path of its chain, the key is the last hop's term, and tables are searched after a text hit too.
     Tables of a page that are equal, or equal in their first `sample_rows` rows, count once. A literal term's value is read
-    from the `width` characters after it.
+    from the `width` characters after it. Tables in the text of the layouts `skip_without_text` are left out where
+    `pages.no_text` says that the document has no text layer; cells are skipped where they are made (`text_tables`).
     """
     options = dict(n=n, trace=trace, serials=serials, full_numbers=full_numbers,
                    word_boundary=word_boundary, width=width)
@@ -207,7 +214,7 @@ def extract(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None =
         return pages.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in RESULT_COLUMNS))
     if cells is None and flavors:
         return _results(_with_tables_in_text(pages, terms, patterns, n, trace, serials, flavors,
-                                             full_numbers, word_boundary, width, sample_rows))
+                                             full_numbers, word_boundary, width, sample_rows, skip_without_text))
     hits = text_hits(pages, terms, patterns, **options)
     if cells is None:
         return _results(hits.where(F.col("value").isNotNull()))

@@ -43,13 +43,15 @@ def run(spark: SparkSession, path: str | DataFrame, doc_type: str, out: str, cat
         recognise: Callable[[bytes], str | None] | None = None, format: str = "parquet",
         full_numbers: bool = False, word_boundary: bool = False, flavors: Sequence[str] = FLAVORS,
         cells: DataFrame | None = None, sample_rows: int | None = None, term_list: DataFrame | None = None,
-        width: int = SNIPPET_WIDTH, number_type: str = "double", locale: str | None = None, by: Sequence[str] = ()) -> bool:
+        width: int = SNIPPET_WIDTH, number_type: str = "double", locale: str | None = None, by: Sequence[str] = (),
+        skip_without_text: Sequence[str] = ()) -> bool:
     """Extract one document type from a folder, or a DataFrame `pages(page_id, text)`, and write the result datasets below `out`.
 
     `catalog` is a catalogue, the path of one, or None for the one in the package. `term_list(term_pos, term)` holds further
     literal terms, as many as there are; it takes no chains. A literal term's value is read from the `width` characters after
     it. Numbers are read as in `locale` and summed as `number_type`, apart by the result columns `by`. Files that could
-    not be read are a dataset `errors` of their own, written if there are any, also where nothing is found. Returns whether anything was found and written.
+    not be read are a dataset `errors` of their own, written if there are any, also where nothing is found. Layouts in
+    `skip_without_text` are not looked for in documents whose first page is blank. Returns whether anything was found and written.
     """
     if term_list is not None and (n > 1 or trace):
         raise ValueError("a term list takes n = 0 or 1 and no trace")
@@ -64,9 +66,10 @@ def run(spark: SparkSession, path: str | DataFrame, doc_type: str, out: str, cat
     pages, failed = (path, None) if isinstance(path, DataFrame) else attempted_pages(spark, path, recognise)
     results = extract(pages, terms, loaded[doc_type], n=n, trace=trace, serials=serials,
                       full_numbers=full_numbers, word_boundary=word_boundary, flavors=flavors, cells=cells,
-                      width=width, sample_rows=sample_rows)
+                      width=width, sample_rows=sample_rows, skip_without_text=skip_without_text)
     if term_list is not None:
-        found = cells if cells is not None else text_tables(pages, flavors) if flavors else None
+        found = cells if cells is not None else text_tables(
+            pages, flavors, skip_without_text=skip_without_text) if flavors else None
         results = results.unionByName(extract_long(
             pages, term_list, loaded[doc_type], n=n, serials=serials, cells=found, full_numbers=full_numbers,
             word_boundary=word_boundary, width=width, sample_rows=sample_rows))

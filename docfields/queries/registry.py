@@ -21,7 +21,7 @@ from docfields.sources.catalog import (
     explode_catalogs, extra_terms_column, term_patterns, word_pattern_column,
 )
 from docfields.sources.files import try_files
-from docfields.sources.pages import distinct_pages, explode_pages, page_path, without_text
+from docfields.sources.pages import distinct_pages, explode_pages, page_path, with_text_layer, without_text
 from docfields.sources.text_tables import text_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,12 +80,27 @@ def page_names_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_pages(pages.select("page_id", "text"))
 
 
-@query("no_text_docs", f"""with {fm.FORMS}
-select doc_id from forms where doc_id % 10 = 0""")
+_BLANKED = f"""{fm.FORMS},
+blanked as materialized (
+  select doc_id, case when doc_id % 10 = 0 then concat(' ', chr(10), chr(9), chr(12), string_split(text, chr(12))[2])
+                      else text end as text from forms),
+blank_pages as materialized (
+  select doc_id, concat('form_', doc_id, '_page_', n, '.png') as page_id, n as page_no, string_split(text, chr(12))[n] as text
+  from (select *, unnest(range(1, len(string_split(text, chr(12))) + 1)) as n from blanked)),
+no_layer as materialized (select doc_id from blank_pages where page_no = 1 and {sql.strip('lower(text)')} = '')"""
+
+
+def _blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms as `doc_id, stem, text`, the first page of every tenth order blank."""
+    second = F.get(F.split("text", "\f"), F.lit(1))
+    text = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit(" \n\t\f"), second)).otherwise(F.col("text"))
+    stem = F.concat(F.lit("form_"), F.col("doc_id").cast("string"))
+    return fm.forms(spark, sf_dir).select("doc_id", stem.alias("stem"), text.alias("text"))
+
+
+@query("no_text_docs", f"with {_BLANKED} select doc_id from no_layer")
 def no_text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = fm.form_pages(spark, sf_dir)
-    blank = (F.col("doc_id") % 10 == 0) & (F.col("page_no") == 1)
-    return without_text(pages.withColumn("text", F.when(blank, F.lit(" \n\t")).otherwise(F.col("text"))))
+    return without_text(explode_pages(_blanked(spark, sf_dir)))
 
 
 @query("text_clean", f"select doc_id, {sql.strip('lower(text)')} as text from documents")
@@ -540,6 +555,23 @@ def table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.table_lookup(fm.order_cells(spark, sf_dir), TABLE_TERMS)
 
 
+SKIPPED = ["lattice"]
+_SKIPPING = f"""{_BLANKED},
+{sql.text_cells('blank_pages', 'lattice', 'barred')},
+{sql.text_cells('blank_pages', 'stream', 'stream')},
+skipped as (select page_id from blank_pages join no_layer using (doc_id)),
+cells as materialized (select * from barred where page_id not in (select page_id from skipped) union all select * from stream),
+{sql.lookup('cells', ['concepto', 'art3', 'precio'])}"""
+
+
+@query("no_text_lookup", f"with {_SKIPPING} select page_id as image, term as key, value from lookup")
+def no_text_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables in the text by terms that patterns never find, without the first layout where a document has no text layer."""
+    pages = explode_pages(with_text_layer(_blanked(spark, sf_dir)))
+    cells = text_tables(pages, skip_without_text=SKIPPED)
+    return tb.table_lookup(cells, ["concepto", "art3", "precio"]).select(F.col("page_id").alias("image"), F.col("term").alias("key"), "value")
+
+
 # -- long term lists --------------------------------------------------------------------------------
 
 _OPENING = "concat_ws(' ', split_part(text, ' ', 1), split_part(text, ' ', 2))"

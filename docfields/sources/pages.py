@@ -36,6 +36,16 @@ def split_pages(text: Column, delimiter: str = PAGE_BREAK) -> Column:
     return F.when(closed, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def no_text(text: Column, delimiter: str = PAGE_BREAK) -> Column:
+    """Whether a document has no text layer: its first page is blank. NULL text counts as none."""
+    return clean_text(F.get(split_pages(text, delimiter), F.lit(0))) == ""
+
+
+def with_text_layer(docs: DataFrame, text: str = "text", delimiter: str = PAGE_BREAK) -> DataFrame:
+    """`docs` with `no_text`, to be added before the split into pages: every page then carries it, and no join is needed."""
+    return docs.withColumn("no_text", no_text(F.col(text), delimiter))
+
+
 def explode_pages(df: DataFrame, text: str = "text", stem: str = "stem",
                   delimiter: str = PAGE_BREAK) -> DataFrame:
     """One row per page with `page_id` (`{stem}_page_{n}.png`), `page_no` from 1 and `text`.
@@ -60,7 +70,7 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
 
 
 def pages_from_files(files: DataFrame) -> DataFrame:
-    """`page_id, doc_id, page_no, text` from `files(path, text)`, text cleaned.
+    """`page_id, doc_id, page_no, text, no_text` from `files(path, text)`, text cleaned.
 
     A PDF has one page per page break and none if its text is NULL. Any other file is one page under
     its own name, empty if its text is NULL.
@@ -69,11 +79,12 @@ def pages_from_files(files: DataFrame) -> DataFrame:
     parts = F.when(is_pdf(name), split_pages(F.col("text"))).otherwise(
         F.array(F.coalesce("text", F.lit("")))
     )
-    exploded = files.select(name.alias("doc_id"), F.posexplode(parts).alias("_pos", "_raw"))
+    exploded = files.select(name.alias("doc_id"), F.coalesce(is_pdf(name) & no_text(F.col("text")), F.lit(False)).alias("no_text"),
+                            F.posexplode(parts).alias("_pos", "_raw"))
     numbered = page_name(file_stem(F.col("doc_id")), F.col("_pos") + 1)
     return exploded.select(
         F.when(is_pdf(F.col("doc_id")), numbered).otherwise(F.col("doc_id")).alias("page_id"),
-        "doc_id", (F.col("_pos") + 1).alias("page_no"), clean_text(F.col("_raw")).alias("text"),
+        "doc_id", (F.col("_pos") + 1).alias("page_no"), clean_text(F.col("_raw")).alias("text"), "no_text",
     )
 
 

@@ -106,15 +106,22 @@ def tables_in(text: Column, flavor: str, header: bool = True) -> Column:
     return F.when(F.contains(text, F.lit(_SEPARATOR[flavor])), found).otherwise(none)
 
 
-def text_tables(pages: DataFrame, flavors: Sequence[str] = FLAVORS, header: bool = True) -> DataFrame:
+def text_tables(pages: DataFrame, flavors: Sequence[str] = FLAVORS, header: bool = True,
+                skip_without_text: Sequence[str] = ()) -> DataFrame:
     """The cells of all tables in `pages(page_id, text)`, one row per cell.
 
-    Short rows are filled up with NULL cells; cells beyond the header have a NULL header.
+    The layouts `skip_without_text` are not looked for where `pages.no_text` says that the document has no text layer. Short rows are filled up with NULL cells; cells beyond the header have a NULL header.
     """
+    def found(flavor: str) -> Column:
+        tables = tables_in(F.col("text"), flavor, header)
+        if flavor not in skip_without_text:
+            return tables
+        return F.when(F.col("no_text"), F.array().cast(f"array<{TABLE_TYPE}>")).otherwise(tables)
+
     per_flavor = F.array(*[
         F.struct(
             F.lit(f).alias("flavor"), F.lit(flavor_rank(f)).alias("flavor_rank"),
-            tables_in(F.col("text"), f, header).alias("tables"),
+            found(f).alias("tables"),
         )
         for f in flavors
     ])

@@ -4,7 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from docfields.functions.regex import CatalogError
+from docfields.functions import regex
+from docfields.functions.regex import CatalogError, field_regex, first_group
 from docfields.sources.catalog import (
     catalog_frame, check_doc_type, default_catalog, explode_catalogs, extra_terms_column, load_catalog,
     normalize_catalog, select_terms, term_patterns, word_pattern, word_pattern_column,
@@ -78,3 +79,21 @@ def test_terms_with_their_patterns(spark):
     terms = spark.createDataFrame([("A",), ("b",)], "term string")
     rows = term_patterns(terms, catalog).select("term", "regex").collect()
     assert sorted(map(tuple, rows), key=str) == [("A", "p"), ("A", "q"), ("b", None)]
+
+
+@pytest.mark.parametrize("pattern", [
+    r"a{,3}b(\d)", r"(?a)x(\w)", r"x{y(\d)", r"(\U0001F600)", r"a{2}(b{1,}c{,})", r"x{}(y)", r"[{,3}](a)", r"[\b](x)", r"\v(x)",
+    r"\N{DIGIT ONE}(x)", r"\0(x)", r"\101(x)", r"(?ai:x)(é)", r"(?u)(x)", r"[]a](x)", r"[^]a](x)", r"[(?:](x)", r"}(x)", r"(?P<n_1>x)(?P=n_1)",
+    r"[a&b](x)", r"(?-i:x)(y)"])
+def test_patterns_mean_what_they_mean_in_python(spark, each, pattern):
+    texts = ["aaab7", "b7", "ab7", "xé", "xa", "xx", "x{y5", "x{y", "😀", "aabc", "aabbbccc", "x{}y", "{a", ",a", "3a", "\x08x", "\x0bx",
+             "\nx", "1x", "\x00x", "Ax", "Xé", "xÉ", "x", "ac", "]x", "ax", "(x", ":x", "?x", "}x", "&x", "bx", "xy", "XY", "Xy"]
+    found = [re.search(pattern, t, re.IGNORECASE | re.DOTALL) for t in texts]
+    assert each(first_group(each.text, field_regex(pattern)), texts) == [m and m.group(1) for m in found]
+
+
+def test_what_the_engine_refuses_is_refused_by_name(spark, monkeypatch):
+    assert regex.engine_error(r"(?isUd)a{2}(b)") is None and "near index" in regex.engine_error("a(b")
+    monkeypatch.setattr(regex, "engine_error", lambda java: "no good near index 7" if "zz" in java else None)
+    with pytest.raises(CatalogError, match="t.f: .*zz.*no good near index 7"):
+        normalize_catalog({"t": {"g": ["a"], "f": [r"(zz)"]}})

@@ -7,6 +7,7 @@ from docfields.operators.extract import extract, missed_pairs, text_hits
 from docfields.operators.tables import (
     dedupe_tables, lookup_in_row, page_tables, table_lookup, table_signatures, unique_tables,
 )
+from docfields.sources.pages import explode_pages, with_text_layer
 from docfields.sources.text_tables import tables_in, text_tables
 from tests import model
 
@@ -204,3 +205,18 @@ def test_aligned_tables_in_random_text_agree_with_plain_rules(each):
     got = each(tables_in(each.text, "aligned"), texts)
     want = [[(i, h, r) for i, (h, r) in enumerate(model.aligned_tables(t))] for t in texts]
     assert got == want and sum(map(len, want)) > 30
+
+
+def test_layouts_are_skipped_without_a_text_layer(spark):
+    table = "| Total | b |\n| 1 | 2 |\n\nTotal  b\n3  4"
+    docs = spark.createDataFrame([("a", f"first\f{table}"), ("b", f" \n\f{table}"), ("c", table), ("d", None)], "stem string, text string")
+    pages = explode_pages(with_text_layer(docs))
+    assert sorted((r["page_id"], r["no_text"]) for r in pages.collect()) == [
+        ("a_page_1.png", False), ("a_page_2.png", False), ("b_page_1.png", True), ("b_page_2.png", True), ("c_page_1.png", False)]
+    want = [("a_page_2.png", "1"), ("b_page_2.png", "3"), ("c_page_1.png", "1")]
+    in_row = extract(pages, ["TOTAL z", "b"], trace=True, skip_without_text=["lattice"]).where("key = 'b' and path is null")
+    assert sorted((r["image"], r["value"]) for r in in_row.collect()) == [(p, {"1": "2", "3": "4"}[v]) for p, v in want]
+    cells = text_tables(pages, skip_without_text=["lattice"])
+    assert sorted((r["page_id"], r["value"]) for r in table_lookup(cells, ["total"]).collect()) == want
+    assert sorted({(r["image"], r["value"]) for r in extract(pages, ["total"], {"total": ["zz"]}, skip_without_text=["lattice", "stream"], n=0).collect()}) == \
+        sorted({(r["image"], r["value"]) for r in extract(pages, ["total"], {"total": ["zz"]}, flavors=()).collect()})
