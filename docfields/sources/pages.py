@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docfields.functions.text import clean_text
 
@@ -88,6 +88,37 @@ def pages_from_files(files: DataFrame) -> DataFrame:
     )
 
 
+def pages_of_large_files(spark: SparkSession, path: str, delimiter: str = PAGE_BREAK) -> DataFrame:
+    """`page_id, doc_id, page_no, text, no_text`, as `pages_from_files` gives them, of text files too large for a row.
+
+    For files whose text has page breaks and whose names end like a PDF's. A row is a page from the start: the page break is the
+    reader's line separator, so one file is read by as many tasks as it has splits and no task holds more than a page. Pages are
+    numbered by their place in their split and the pages of the splits before it. Only counts are shuffled, one row a split;
+    they are joined to the pages by size, so text moves only if the splits are too many to send to all.
+    A file that is not valid UTF-8 has no pages; an empty one has an empty page.
+    """
+    names = spark.read.format("binaryFile").load(path).select("path", "length").where(is_pdf(file_name(F.col("path"))))
+    read = spark.read.option("lineSep", delimiter).text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"),
+    ).where(is_pdf(file_name(F.col("path"))))
+    splits = read.groupBy("path", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min(F.is_valid_utf8("raw")).alias("valid"),
+        F.min(F.when(F.col("block") == 0, F.struct("at", (clean_text(F.col("raw")) == "").alias("blank"))))["blank"].alias("blank"))
+    file = Window.partitionBy("path")
+    before = file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = splits.select(
+        F.col("path").alias("s_path"), F.col("block").alias("s_block"), "first", F.min("valid").over(file).alias("valid"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.max("blank").over(file).alias("no_text"))
+    pages = read.join(numbered, (F.col("path") == F.col("s_path")) & (F.col("block") == F.col("s_block"))).where("valid").select(
+        "path", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias("page_no"), "raw", "no_text")
+    empty = names.where("length = 0").select("path", F.lit(1).alias("page_no"), F.lit("").alias("raw"), F.lit(True).alias("no_text"))
+    doc = file_name(F.col("path"))
+    return pages.unionByName(empty).select(
+        page_name(file_stem(doc), F.col("page_no")).alias("page_id"), doc.alias("doc_id"), "page_no",
+        clean_text(F.col("raw")).alias("text"), "no_text")
+
+
 def names_may_clash(files: DataFrame) -> bool:
     """Whether two files could give the same page name; looks at names only.
 

@@ -5,6 +5,7 @@ from docfields.plans.batch import read_pages, run
 from docfields.plans.spread import spread
 from docfields.sources.files import extract_text, require_files, scan_folder, try_files
 from docfields.sources.pages import (
+    pages_of_large_files,
     distinct_pages, explode_pages, names_may_clash, page_path, pages_from_files, without_text,
 )
 from docfields.sources.sinks import is_complete, save_datasets, write_results
@@ -198,3 +199,27 @@ def test_many_large_files_are_handed_on_in_parts(spark):
     files = spark.range(0, 60, 1, 1).selectExpr("concat('f', id) as path", "cast(repeat('x', 1000000) as binary) as content")
     tried = try_files(files, lambda c: None if len(c) == 3 else c.decode())
     assert tried.selectExpr("sum(length(text)) as n", "count(error) as e").collect()[0][:] == (60_000_000, 0)
+
+
+def test_large_files_are_read_by_many_tasks(spark, tmp_path):
+    texts = {"a.pdf": "\f".join(f"Page {i} é " + "x y " * (i % 40) for i in range(900)), "b.PDF": " \n\ftotal 2\f", "c.pdf": "", "d.pdf": "one\r\ntwo",
+             "e.pdf": "\f\f" + "z" * 5000 + "\f\fq\f\f", "f.pdf": b"ok\f\xff\xfe\fok", "g.txt": "no\fpdf"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text if isinstance(text, bytes) else text.encode())
+    path = str(tmp_path)
+    names = ["page_id", "doc_id", "page_no", "text", "no_text"]
+    want = sorted(map(tuple, pages_from_files(extract_text(scan_folder(spark, path))).select(names).collect()))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (700, 4096, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            pages = pages_of_large_files(spark, path).select(names)
+            got = sorted(map(tuple, pages.collect()))
+            assert got == want and len(got) > 900
+            if size == 700:
+                large = spark.read.option("lineSep", "\f").text(f"{path}/a.pdf")
+                assert large.rdd.getNumPartitions() > 50
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
