@@ -223,3 +223,8 @@ def test_large_files_are_read_by_many_tasks(spark, tmp_path):
     finally:
         for key, value in old.items():
             spark.conf.set(key, value)
+    out = [str(tmp_path / name) for name in ("row", "split")]
+    for target, large in zip(out, (False, True)):
+        assert run(spark, path, "t", target, {"t": {"page": [r"page (\d+)"], "total": [r"total (\d)"]}}, large_files=large)
+    a, b = (sorted((r["image"], r["key"], r["value"]) for r in spark.read.parquet(f"{o}/results").collect()) for o in out)
+    assert a == b and len(a) > 900
