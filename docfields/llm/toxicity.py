@@ -3,7 +3,7 @@
 A word's input is an embedding of the word and the mean embedding of its character n-grams, both from hashed
 tables, with the most telling n-gram's evidence beside them. The tables start from how much more often a bucket
 is found in toxic documents, and are trained with the network. Each document is scored over all windows of
-`WINDOW` words, each overlapping the next; its score is a logistic function of the highest window and the number
+`WINDOW` words, each overlapping the next by half; its score is a logistic function of the highest window and the number
 of windows.
 
 Documents have labels, windows have none: a toxic document is represented by the window with the most evidence,
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from docfields.llm.common import by_batch
 
-WINDOW, STRIDE = 80, 72
+WINDOW, STRIDE = 80, 40
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 17
 DIMENSION, HIDDEN = 4, 8
 ORDERS = (3, 4, 5)
@@ -217,6 +217,10 @@ class Network:
 
 
 INPUTS = 2 * DIMENSION + 1
+# The inputs that start from evidence: of the word, the mean and the most of its n-grams.
+MOVED = (0, DIMENSION, 2 * DIMENSION)
+# One text of so many calibrates.
+ASIDE = 5
 
 
 def windows_of(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +233,7 @@ def windows_of(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([starts[:-1][owner] + begin, np.minimum(sizes[owner], WINDOW)], axis=1), owner
 
 
-def odds(held: np.ndarray, total: tuple[int, int], prior: float = 2.0) -> np.ndarray:
+def odds(held: np.ndarray, total: tuple[int, int], prior: float = 1.0) -> np.ndarray:
     """Log ratio of the shares of toxic and other documents that hold a bucket, drawn to 0 where few do."""
     base = held.sum(axis=0) / sum(total)
     share = [(held[k] + prior * base) / (total[k] + prior) for k in (0, 1)]
@@ -237,12 +241,28 @@ def odds(held: np.ndarray, total: tuple[int, int], prior: float = 2.0) -> np.nda
         return np.where(base > 0, np.log(share[1]) - np.log(share[0]), 0.0).clip(-4, 6)
 
 
+def without_one(held: tuple[np.ndarray, ...], total: tuple[int, int], label: int) -> list[np.ndarray]:
+    """The `odds` of each table as a document with this label sees them: without itself."""
+    rest = tuple(n - (k == label) for k, n in enumerate(total))
+    own = np.array([[1.0 if k == label else 0.0] for k in (0, 1)])
+    return [odds(np.maximum(h - own, 0), rest) for h in held]
+
+
 def trained(texts: list[str], labels: list[int], shift: float = 0.0, seed: int = 0) -> Network | None:
-    """The network of some texts. `shift` moves the scores from the sample's share of labels to that of all rows."""
+    """The network of some texts. `shift` moves the scores from the sample's share of labels to that of all rows.
+
+    A fifth of the texts is held aside and calibrates the scores, if it has both labels; the others train the network. What a text
+    being learned from is told of its own words is counted without it, as it is for texts that come later.
+    """
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(seed)
+    aside = rng.permutation(len(y)) % ASIDE == 0
+    if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
+        aside[:] = False
+    every_text, every_y = texts, y
+    texts, y = [t for t, a in zip(texts, aside) if not a], y[~aside]
     lists = [WORD.findall((t or "").lower()) for t in texts]
     known = {w: k for k, w in enumerate(dict.fromkeys(w for own in lists for w in own))}
     vocabulary = list(known)
@@ -272,14 +292,23 @@ def trained(texts: list[str], labels: list[int], shift: float = 0.0, seed: int =
     net.p["o"] = (rng.standard_normal(2 * HIDDEN) / np.sqrt(2 * HIDDEN)).astype(np.float32)
     net.p["c"] = np.zeros(1, np.float32)
     # The strongest words of a window are its evidence.
-    most = np.maximum.reduceat(np.append(gram_odds[buckets], 0), starts[:-1])
-    evidence = np.maximum(word_odds[owns], most)
+    counts = np.maximum(np.diff(starts), 1)
+    evidence, moved = [], []
+    for label in (0, 1):
+        words_, grams_ = without_one(held, total, label)
+        most = np.maximum.reduceat(np.append(grams_[buckets], 0), starts[:-1])
+        evidence.append(np.maximum(words_[owns], most))
+        # What is taken from each input of a word: its own odds, the mean and the most of its n-grams.
+        mean = np.add.reduceat(np.append((grams_ - gram_odds)[buckets], 0), starts[:-1]) / counts
+        before = np.maximum.reduceat(np.append(gram_odds[buckets], 0), starts[:-1])
+        moved.append(np.stack([(words_ - word_odds)[owns], mean, most - before], axis=1).astype(np.float32))
+    moved = np.stack(moved)
     examples, targets = [], []
     for own, label in zip(ids, y):
         at, _ = windows_of(np.array([0, len(own)]))
         if not len(at):
             continue
-        sums = [np.sort(evidence[own[s:s + n]])[-3:].sum() for s, n in at]
+        sums = [np.sort(evidence[label][own[s:s + n]])[-3:].sum() for s, n in at]
         picks = {int(np.argmax(sums))} | (set() if label else {int(rng.integers(len(at)))})
         for k in picks:
             s, n = at[k]
@@ -297,6 +326,7 @@ def trained(texts: list[str], labels: list[int], shift: float = 0.0, seed: int =
             used, back = np.unique(examples[rows][mask], return_inverse=True)
             x = np.zeros((*mask.shape, INPUTS), np.float32)
             x[mask] = net.features([vocabulary[w] for w in used])[back]
+            x[np.nonzero(mask) + (np.array(MOVED)[:, None],)] += moved[np.repeat(targets[rows].astype(int), mask.sum(axis=1)), used[back]].T
             kept = net.run(x, mask)
             error = ((sigmoid(kept["logit"]) - targets[rows]) * balance[rows] / len(rows)).astype(np.float32)
             g, d_x = net.gradients(kept, error)
@@ -316,7 +346,7 @@ def trained(texts: list[str], labels: list[int], shift: float = 0.0, seed: int =
                 np.add.at(total_g, to, gradient)
                 square[touched] += total_g * total_g
                 table[touched] -= RATE * total_g / np.sqrt(square[touched])
-    a, b, c = calibrated(net, texts, y)
+    a, b, c = calibrated(net, [t for t, k in zip(every_text, aside) if k], every_y[aside]) if aside.any() else calibrated(net, texts, y)
     net.calibration = a, b, c + shift
     net.memory, net.inputs = {}, None
     return net

@@ -193,3 +193,35 @@ def test_pipeline(spark):
     ids = {r["doc_id"] for r in rows}
     assert ids == {r["doc_id"] for r in kept.select("doc_id").collect()} and len(rows) >= 2 * len(ids)
     assert all(s(spark, table.limit(0), SF_DIR).count() == 0 for _, s in corpus_pipeline.STAGES)
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """On the given labels: no worse than the best single word's log-odds, and most toxic documents found."""
+    folder = "/root/testdata/sf0.1"
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").groupBy("doc_id").agg({"toxic": "max"}).toDF("doc_id", "toxic")
+    rows = texts.join(labels, "doc_id").orderBy("doc_id").collect()
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    rest = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    network = toxicity.trained([r["text"] for r in rest], [r["toxic"] for r in rest])
+    scores, toxic = network.score([r["text"] for r in held]), np.array([r["toxic"] for r in held])
+    bad, good = scores[toxic == 1], scores[toxic == 0]
+    area = ((bad[:, None] > good).mean() + (bad[:, None] >= good).mean()) / 2
+    assert area >= 0.94 and (bad >= 0.5).mean() >= 0.7 and (good >= 0.5).mean() <= 0.05
+
+
+def test_toxicity_over_a_window_border_and_on_edges(spark):
+    assert 2 * toxicity.STRIDE <= toxicity.WINDOW
+    rng = random.Random(5)
+    clean = [" ".join(rng.choice("ab bc cd de ef fg gh hi".split()) for _ in range(60)) for _ in range(80)]
+    vile = [c + " you vile wretch" for c in clean[:40]]
+    network = toxicity.trained(clean + vile, [0] * 80 + [1] * 40)
+    base = "ab bc cd de " * 60
+    for at in (60, 72, 79, 100):
+        words = base.split()
+        words[at:at] = "you vile wretch".split()
+        assert network.score([" ".join(words)])[0] > 0.5 > network.score([base])[0]
+    df = docs(spark, [None, "", base * 30, base, base])
+    got = [r["score"] for r in toxicity.score(df, network).orderBy("doc_id").collect()]
+    assert len(got) == 5 and got[0] == got[1] and got[3] == got[4] and all(0 <= s <= 1 for s in got)
+    assert toxicity.score(df.where("false"), network).count() == 0
