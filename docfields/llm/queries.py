@@ -175,4 +175,24 @@ ORACLE: dict[str, str] = {
         select * replace (round(rate, 6) as rate), cast('0x' || substr(md5('20241:' || coalesce(
             cast(doc_id as varchar), 'null') || ':' || cast(copy_no as varchar)), 1, 15) as bigint) as mix_key
         from e""",
+    # Shared shingles of every two documents that have one in common, and all that links reach.
+    "op13_jaccard_join": """
+        with recursive split as materialized (
+            select doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+            from documents
+        ), s as materialized (
+            select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g
+            from (select *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from split where len(w) > 0)
+        ), n as materialized (select doc_id, count(*) as n from s group by doc_id),
+        shared as materialized (
+            select a.doc_id as u, b.doc_id as v, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all
+        ), links as materialized (
+            select u, v from shared join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c >= 80 * (x.n + y.n - c)
+        ), reached(u, v) as (
+            select doc_id, doc_id from n union select r.u, l.v from reached r join links l on l.u = r.v
+        ), least as (select u, min(v) as component_id from reached group by u)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id
+        from documents d left join n on n.doc_id = d.doc_id left join least on u = d.doc_id""",
 }

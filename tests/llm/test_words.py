@@ -145,8 +145,9 @@ def test_phrases_of_the_documents(spark):
         assert sorted(tuple(r) for r in phrases.top_phrases(rows, **options).collect()) == want
 
 
-def test_phrases_sql(spark):
-    ours, theirs, left, right, _ = difference(spark, connect(SF_DIR), QUERIES["op12_collocations"], ORACLE["op12_collocations"], SF_DIR)
+@pytest.mark.parametrize("name", ["op12_collocations", "op13_jaccard_join"])
+def test_sql(spark, name):
+    ours, theirs, left, right, _ = difference(spark, connect(SF_DIR), QUERIES[name], ORACLE[name], SF_DIR)
     assert ours == theirs and not left and not right
 
 
