@@ -51,11 +51,14 @@ def test_loading(spark, tmp_path):
 
 def test_default_catalogue():
     catalog = default_catalog()
-    assert list(catalog) == ["facturas", "recibos", "contratos", "historiales_medicos", "documentos_generales"]
-    assert sum(map(len, catalog.values())) == 31
-    total = catalog["facturas"]["total"][0]
-    assert re.findall(total, "subtotal: 100\ntotal a pagar: 1.120,50", re.I) == ["1.120,50"]
-    assert re.findall(catalog["facturas"]["cliente"][0], "cliente: juan perez\nnit: 1", re.I) == ["juan perez"]
+    assert list(catalog) == ["comprobantes", "movimientos", "acuerdos", "envíos"]
+    assert sum(map(len, catalog.values())) == 26
+    found = {(t, f): [m for r in rs for m in re.findall(r, (
+        "folio: A-12\nreceptor: juan perez\nno a pagar nada\na pagar: 1.120,50\nentre acme s.a. y otros\npeso 12,5 kg\ndesde el 1/2/2024"), re.I)]
+        for t, fields in catalog.items() for f, rs in fields.items()}
+    assert {k: v for k, v in found.items() if v} == {
+        ("comprobantes", "folio"): ["A-12"], ("comprobantes", "receptor"): ["juan perez"], ("comprobantes", "a pagar"): ["1.120,50"],
+        ("acuerdos", "partes"): ["acme s.a."], ("acuerdos", "desde"): ["1/2/2024"], ("envíos", "peso"): ["12,5"]}
 
 
 def test_catalogues_as_data(spark):

@@ -96,9 +96,9 @@ def test_whole_job(spark, folder, tmp_path):
 def test_whole_job_with_default_catalogue_and_formats(spark, folder, tmp_path):
     for format in ("json", "csv"):
         out = str(tmp_path / format)
-        assert run(spark, folder, "facturas", out, n=1, trace=True, format=format)
+        assert run(spark, folder, "comprobantes", out, extra_terms="factura", n=1, trace=True, format=format)
         rows = spark.read.format(format).option("header", True).load(f"{out}/results")
-        assert "factura:f-1" in {r["path"] for r in rows.collect()}
+        assert "factura:-1" in {r["path"] for r in rows.collect()}
     assert run(spark, folder, "words", str(tmp_path / "w"), CATALOG)
     with pytest.raises(ValueError):
         run(spark, folder, "unknown", str(tmp_path / "x"))
