@@ -163,34 +163,19 @@ def _with_tables_in_text(pages: DataFrame, terms: Sequence[str], patterns: Patte
     return df.select("page_id", "serial", F.inline(F.flatten(F.transform("_hits", rows))))
 
 
-def _filled_from(hits: DataFrame, tables: DataFrame) -> DataFrame:
-    """`hits`, with the table values of a page and term in place of each miss.
+def _filled_from(hits: DataFrame, cells: DataFrame, terms: Sequence[str], sample_rows: int | None) -> DataFrame:
+    """`hits` that have a value as they are, and the table values of the pages and terms without one.
 
-    One join, so the text is searched once. It is an inner join, in which Spark can split a skewed
-    partition on either side; an outer one could not split many values of one page and term. For that a
-    hit needs something to join: it takes one of a fixed number of keys that no page and term has, each
-    with one empty row on the other side.
+    Hits hold no text. They are written once, so the text is searched once, and what was found needs no join. Only the misses
+    go to the tables, and inner joins let Spark split many values of one page and term.
     """
-    keys = 1024
-    missed = F.col("value").isNull()
-    kept = -1 - F.pmod(F.xxhash64("page_id", "term_pos"), F.lit(keys)).cast("int")
-    left = hits.select(
-        "page_id", "serial", "key", "value", "path",
-        F.when(missed, F.col("page_id")).otherwise("").alias("_page"),
-        F.when(missed, F.col("term_pos")).otherwise(kept).alias("_pos"),
-    )
-    right = tables.select(
-        F.col("page_id").alias("_page"), F.col("term_pos").alias("_pos"),
-        F.col("term").alias("_key"), F.col("value").alias("_value"),
-    )
-    empty = hits.sparkSession.range(keys).select(
-        F.lit("").alias("_page"), (-1 - F.col("id")).cast("int").alias("_pos"),
-        _no_string().alias("_key"), _no_string().alias("_value"),
-    )
-    return left.join(right.unionByName(empty), ["_page", "_pos"]).select(
-        "page_id", "serial", F.coalesce("key", "_key").alias("key"),
-        F.coalesce("value", "_value").alias("value"), "path",
-    )
+    hits = materialize(hits)
+    missed = hits.where(F.col("value").isNull())
+    looked = table_lookup(cells, terms, pairs=missed, sample_rows=sample_rows)
+    from_tables = missed.select("page_id", "serial", "term_pos").join(looked, ["page_id", "term_pos"]).select(
+        "page_id", "serial", F.col("term").alias("key"), "value")
+    return hits.where(F.col("value").isNotNull()).select("page_id", "serial", "key", "value", "path").unionByName(
+        from_tables, allowMissingColumns=True)
 
 
 def extract(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None = None, *, n: int = 0,
@@ -219,7 +204,7 @@ def extract(pages: DataFrame, terms: Sequence[str], patterns: Patterns | None =
     if cells is None:
         return _results(hits.where(F.col("value").isNotNull()))
     if not trace:
-        return _results(_filled_from(hits, table_lookup(cells, terms, sample_rows=sample_rows)))
+        return _results(_filled_from(hits, cells, terms, sample_rows))
     # With a trace the text hits are needed three times: as results, as the values already recorded
     # and for the serials. They hold no text, so they are written once.
     hits = materialize(hits)

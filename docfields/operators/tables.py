@@ -19,6 +19,7 @@ from docfields.fixed import FLAVORS
 from docfields.functions.search import let
 from docfields.functions.text import normalize_cell, normalize_header
 from docfields.operators.index import spelled_candidates
+from docfields.plans.materialize import materialize
 from docfields.sources.text_tables import flavor_rank, tables_in
 
 # Terms as a list, or as many rows as there are: `terms(term_pos, term)`.
@@ -134,13 +135,18 @@ def cell_hits(cells: DataFrame, terms: Terms) -> DataFrame:
 
 
 def table_lookup(cells: DataFrame, terms: Terms, known: DataFrame | None = None,
-                 dedupe: bool = True, sample_rows: int | None = None) -> DataFrame:
+                 dedupe: bool = True, sample_rows: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Look terms up in tables: `page_id, term_pos, term, value`, values distinct per page and term.
 
     `known(page_id, term_pos, key, value)` holds values already recorded; a candidate is passed over
-    if the same page, key and value were recorded for this term or an earlier one.
+    if the same page, key and value were recorded for this term or an earlier one. With `pairs(page_id, term_pos)` only
+    those pages and terms are looked up: candidates of others go before anything else is done with them, and
+    what is left is written once, so that cells are read once for candidates and once for duplicates.
     """
     found = _candidates(cells, terms, [0, 1])
+    if pairs is not None:
+        # The search gives `term_pos`, so this semi join cannot be pushed below it.
+        found = found.join(pairs.select("page_id", "term_pos"), ["page_id", "term_pos"], "left_semi")
     if dedupe:
         # Not a semi join: that would be pushed below the search and shuffle every cell.
         found = found.join(unique_tables(cells, sample_rows), TABLE_KEY)
@@ -156,6 +162,8 @@ def table_lookup(cells: DataFrame, terms: Terms, known: DataFrame | None = None,
             "left_anti",
         )
     ranked = found.select("page_id", "term_pos", "term", _rank().alias("rank"), "cell")
+    if pairs is not None:
+        ranked = materialize(ranked)
     best = ranked.groupBy("page_id", "term_pos").agg(F.min("rank").alias("rank"))
     return ranked.join(best, ["page_id", "term_pos", "rank"]).select(
         "page_id", "term_pos", "term", F.col("cell").alias("value")

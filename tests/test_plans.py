@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docfields.operators import extract as extract_module, tables as tables_module
 from docfields.operators.extract import extract
 from docfields.operators.rollup import rollup_both
 from docfields.operators.tables import table_lookup
+from docfields.plans.materialize import materialize
 from docfields.sources.text_tables import text_tables
 
 FIELDS = {"total": [r"total:\s*(\d+)"], "iva": [r"iva=(\w+)"]}
@@ -54,7 +56,33 @@ def test_lookup_gathers_no_group(pages, spark):
     assert "partial_min" in text and "partial_sum" in text
 
 
-def test_fallback_searches_the_text_once(pages):
-    cells = text_tables(pages.withColumn("text", F.lit("A  B\n1  2")))
-    text = plan(extract(pages, ["total", "iva"], FIELDS, cells=cells))
-    assert text.count("ReadSchema: struct<page_id:string,text:string>") == 1
+def test_fallback_searches_the_text_once_and_reads_cells_twice(pages, spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cells")
+    text_tables(pages.withColumn("text", F.lit("A  Total\n1  2"))).write.parquet(path)
+    written = []
+
+    def noted(df):
+        written.append(plan(df))
+        return materialize(df)
+
+    for module in (extract_module, tables_module):
+        monkeypatch.setattr(module, "materialize", noted)
+    found = extract(pages, ["total", "iva", "A"], FIELDS, cells=spark.read.parquet(path))
+    every = [*written, plan(found)]
+    assert [p.count("ReadSchema: struct<page_id:string,text:string>") for p in every] == [1, 0, 0]
+    assert [p.count("FileScan parquet") for p in every] == [1, 2, 0]
+    assert all("Cartesian" not in p and "NestedLoop" not in p and "Range" not in p for p in every)
+    assert {(r["key"], r["value"]) for r in found.collect()} == {("total", "1"), ("a", "1")}
+
+
+def test_lookup_of_pairs_is_the_lookup_of_all_less_the_others(spark):
+    rows = [(f"p{i % 3}", "lattice", 0, i // 3, r, c, h, f"{h}{i * r % 4}") for i in range(9) for r in range(3)
+            for c, h in enumerate(["total", "iva"])]
+    cells = spark.createDataFrame(
+        rows, "page_id string, flavor string, flavor_rank int, table_idx int, row_idx int, col_idx int, header string, cell string")
+    pairs = spark.createDataFrame([("p0", 0), ("p0", 0), ("p1", 1), ("p9", 0), (None, 0), ("p2", None)], "page_id string, term_pos int")
+    every = {tuple(r) for r in table_lookup(cells, ["Total", "iva"]).collect()}
+    some = [tuple(r) for r in table_lookup(cells, ["Total", "iva"], pairs=pairs).collect()]
+    assert len(some) == len(set(some)) > 0
+    assert set(some) == {r for r in every if r[:2] in {("p0", 0), ("p1", 1)}}
+    assert table_lookup(cells, ["Total"], pairs=pairs.limit(0)).count() == 0
