@@ -2,7 +2,9 @@
 
 A run of code-like characters is *exposed* when its characters per token are few: natural words are single
 tokens of several characters, random strings fall apart into tokens of one or two. Digests of a known length,
-UUIDs, numbers and other identifiers fall apart too, so they are excluded first.
+UUIDs, numbers and other identifiers fall apart too, so they are excluded first. A run that passes as a whole,
+like a path, is tested part by part. Parts of letters without a change of case are words unless they
+fall apart further than long words of any language do.
 
 Defined results: a null text is an empty one; an empty text has no spans; equal rows give equal results; an
 empty table gives an empty one. Texts are searched whole.
@@ -33,12 +35,16 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LENGTH = 12
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-# Not secrets in themselves: digests of the usual lengths, UUIDs, numbers, plain or snake-cased words, paths.
+PART = re.compile(r"[A-Za-z0-9+]{20,}")
+# Not secrets in themselves: digests of the usual lengths, UUIDs, numbers.
 KNOWN = re.compile(r"""(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}
     |[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}
-    |[0-9+/_=-]+
-    |[/_=+-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[/_=+-]*)""", re.VERBOSE)
+    |[0-9+/_=-]+)""", re.VERBOSE)
+# Plain or snake-cased words, paths: never secrets as a whole.
+WORDS = re.compile(r"""[/_=+-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[/_=+-]*""")
 MAX_RATIO = 2.2
+# For letters without digits and without changes of case, as a share of the ratio for others.
+WORD_SHARE = 0.85
 
 
 @cache
@@ -59,18 +65,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def exposed_spans(text: str, vocabulary: str, max_ratio: float) -> list[tuple[int, int, int]]:
-    """Code-like runs with at most `max_ratio` characters to a token, known identifiers left out."""
+    """Code-like runs with at most `max_ratio` characters to a token, or their parts; known identifiers left out."""
+    def exposed(run: str, ratio: float) -> bool:
+        return len(run) <= ratio * len(encoding(vocabulary).encode_ordinary(run))
+
     found = []
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        if KNOWN.fullmatch(run) or not any(c.isdigit() for c in run) and not mixed_case(run):
+        if KNOWN.fullmatch(run):
             continue
-        tokens = encoding(vocabulary).encode_ordinary(run)
-        if len(run) <= max_ratio * len(tokens):
+        if coded(run) and not WORDS.fullmatch(run) and exposed(run, max_ratio):
             found.append((m.start(), 3, m.end()))
+            continue
+        for part in PART.finditer(run):
+            piece = part.group()
+            if KNOWN.fullmatch(piece) or len(piece) == len(run) and coded(run) and not WORDS.fullmatch(run):
+                continue
+            if exposed(piece, max_ratio if coded(piece) else WORD_SHARE * max_ratio):
+                found.append((m.start() + part.start(), 3, m.start() + part.end()))
     return found
 
 
+def coded(run: str) -> bool:
+    """Whether a run has digits, or changes of case as words do not have."""
+    return any(c.isdigit() for c in run) or mixed_case(run)
+
+
 def mixed_case(run: str) -> bool:
     """Whether letter case changes inside words again and again, as in random letters."""
     changes = sum(a.islower() != b.islower() for a, b in zip(run, run[1:]) if a.isalpha() and b.isalpha())

@@ -225,3 +225,30 @@ def test_toxicity_over_a_window_border_and_on_edges(spark):
     got = [r["score"] for r in toxicity.score(df, network).orderBy("doc_id").collect()]
     assert len(got) == 5 and got[0] == got[1] and got[3] == got[4] and all(0 <= s <= 1 for s in got)
     assert toxicity.score(df.where("false"), network).count() == 0
+
+
+def test_secrets_of_one_case_and_in_paths(spark):
+    import random
+    import string
+
+    from docfields.llm.secrets import exposed_spans, MAX_RATIO, VOCABULARY
+
+    draw = random.Random(3)
+
+    def key(letters, n):
+        return "".join(draw.choice(letters) for _ in range(n))
+
+    def spans(text):
+        return [(s, e) for s, _, e in exposed_spans(text, VOCABULARY, MAX_RATIO)]
+
+    for letters, n, least in [(string.ascii_lowercase, 40, 85), (string.ascii_uppercase, 32, 95),
+                              (string.ascii_letters + string.digits, 32, 99)]:
+        keys = [key(letters, n) for _ in range(100)]
+        assert sum(spans(k) == [(0, n)] for k in keys) >= least
+        path = "/home/user/projects/archive/reports/documents/"
+        assert sum((len(path), len(path) + n) in spans(f"{path}{k} end") or spans(path + k) == [(0, len(path) + n)] for k in keys) >= least
+    clean = ["internationalization_of_telecommunications", "/usr/share/documentation/internationalization/characteristics",
+             "Donaudampfschifffahrtsgesellschaft", "Rechtsschutzversicherungsgesellschaften", "anticonstitutionnellement",
+             "/a/b/c/d/e/f/g/h/i/j/k/l/m", "incomprehensibilities", "otorrinolaringologicamente", "------------------------",
+             "archive/" + "0123456789abcdef" * 4, "12345678901234567890123", ""]
+    assert [spans(t) for t in clean] == [[]] * len(clean)
