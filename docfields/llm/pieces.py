@@ -27,6 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -453,15 +454,19 @@ def segmentations(texts: list[str | None], keys: np.ndarray, samples: int, latti
 
 
 def sample_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, samples: int = 2,
-                  alpha: float = ALPHA, model: str = MODEL) -> DataFrame:
-    """`id, sample (from 1), ids, log_prob, perturbed, inclusion`: distinct segmentations of every whole text."""
+                  alpha: float = ALPHA, model: str = MODEL, kept: str | None = None) -> DataFrame:
+    """`id, sample (from 1), ids, log_prob, perturbed, inclusion`: distinct segmentations of every whole text.
+
+    The column `kept`, if named, goes along with the id.
+    """
+    carried = [id_column, *([kept] if kept else [])]
     holder: list[Lattices] = []
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not holder:
             holder.append(Lattices(model, alpha))
         lattices = holder[0]
-        texts, keys = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+        texts, keys = batch.column(len(carried)).to_pylist(), batch.column(len(carried) + 1).to_numpy()
         low = 0
         while low < len(texts):
             high, held = low, 0
@@ -478,30 +483,59 @@ def sample_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                     inclusion = -np.expm1(-np.exp(r.log_prob - left))
                 ends = np.append(r.ends[:-1][rows], len(r.edge)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(low, high - low).take(pa.array(rows)),
+                    *[batch.column(i).slice(low, high - low).take(pa.array(rows)) for i in range(len(carried))],
                     pa.array(np.full(len(rows), turn + 1, np.int32)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(pieces[r.edge])),
                     pa.array(r.log_prob[rows]), pa.array(r.value[rows]), pa.array(inclusion[rows]),
-                ], names=[id_column, "sample", "ids", "log_prob", "perturbed", "inclusion"])
+                ], names=[*carried, "sample", "ids", "log_prob", "perturbed", "inclusion"])
             low = high
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    keyed = docs.select(F.col(id_column), F.col(text_column), F.xxhash64(id_column).alias("row_key"))
-    return by_batch(keyed, run, f"`{id_column}` {kind}, sample int, ids array<int>, log_prob double, "
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    keyed = docs.select(*carried, F.col(text_column), F.xxhash64(id_column).alias("row_key"))
+    return by_batch(keyed, run, f"{kinds}, sample int, ids array<int>, log_prob double, "
                                 "perturbed double, inclusion double", rows=TEXTS)
 
 
 def decode_pieces(encoded: DataFrame, ids_column: str = "ids", text_column: str = "text", *,
                   model: str = MODEL) -> DataFrame:
-    """`encoded` with the text of its piece ids; ids without a text of their own give none."""
-    def run(batches):
-        pieces, bytes_, _ = vocabulary(model)
-        known = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {
-            i: bytes([b]) for b, i in enumerate(bytes_)}
+    """`encoded` with the text of its piece ids; ids without a text of their own give none, null lists a null text.
+
+    The bytes of all pieces of a run of rows are gathered at once, at most `CHARACTERS` pieces or one longer row at a time.
+    """
+    held: list[pa.Array] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if ids is None else b"".join([known.get(i, b"") for i in ids]).decode("utf-8", "replace")
-                   .removeprefix(" ") for ids in batch.column(batch.schema.get_field_index(ids_column)).to_pylist()]
-            yield batch.append_column(text_column, pa.array(out, pa.string()))
+            if not held:
+                pieces, bytes_, _ = vocabulary(model)
+                known = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {
+                    i: bytes([b]) for b, i in enumerate(bytes_)}
+                held.append(pa.array([known.get(i, b"") for i in range(max(known) + 2)], pa.large_binary()))
+            lists = batch.column(batch.schema.get_field_index(ids_column))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = (np.flatnonzero(np.diff(ends // CHARACTERS)) + 1).tolist()
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+                texts = texts_of(lists.slice(start, stop - start), held[0])
+                yield batch.slice(start, stop - start).append_column(text_column, pa.array(texts, pa.string()))
 
     rest = encoded.drop(text_column)
     return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(text_column, StringType())]))
+
+
+def texts_of(lists: pa.ListArray, known: pa.LargeBinaryArray) -> list[str | None]:
+    """The text of each list of piece ids; the last entry of `known`, which is empty, stands for all ids it does not hold."""
+    ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+    ids = np.where((ids < 0) | (ids >= len(known)), len(known) - 1, ids)
+    gathered = known.take(pa.array(ids))
+    offsets = np.frombuffer(gathered.buffers()[1], np.int64)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    data = memoryview(gathered.buffers()[2] or b"")
+    sizes = pc.list_value_length(lists).to_pylist()
+    out, at = [], 0
+    for n in sizes:
+        if n is None:
+            out.append(None)
+            continue
+        piece = bytes(data[offsets[at]:offsets[at + n]])
+        out.append(piece.decode("utf-8", "replace").removeprefix(" "))
+        at += n
+    return out

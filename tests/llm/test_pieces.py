@@ -82,3 +82,22 @@ def test_edges(spark, monkeypatch):
                                                "doc_id long, text string"), samples=3).collect()
     assert [(r["ids"], r["log_prob"], r["inclusion"]) for r in rows if r["doc_id"] == 1] == [([], 0.0, 1.0)] * 2
     assert len([r for r in rows if r["doc_id"] is None]) == 6
+
+
+def test_decoding_of_odd_ids(spark):
+    known, bytes_, _ = vocabulary(MODEL)
+    some = known["▁the"][0]
+    rows = [(0, None), (1, []), (2, [some, some]), (3, [-5, some, 10 ** 8, None, some]), (4, [bytes_[0xC3], bytes_[0xA9]]),
+            (5, [bytes_[0xC3]])]
+    found = decode_pieces(spark.createDataFrame(rows, "i int, ids array<int>").repartition(1)).collect()
+    assert {r["i"]: r["text"] for r in found} == {0: None, 1: "", 2: "the the", 3: "the the", 4: "é", 5: "�"}
+    assert decode_pieces(spark.createDataFrame([], "i int, ids array<int>")).count() == 0
+
+
+def test_query_decodes_all_samples(spark, tmp_path):
+    from docfields.llm.queries import QUERIES
+
+    spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "the cat"])] + [(None, "no id")],
+                          "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op6_sentencepiece"](spark, str(tmp_path)).collect()
+    assert all(r["round_trip"] for r in rows) and len({r["doc_id"] for r in rows}) == len(TEXTS) + 2
