@@ -19,6 +19,7 @@ inclusion 1; a text with fewer segmentations than asked for gives all it has; re
 samples; an empty table gives an empty one.
 """
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -454,19 +455,28 @@ def segmentations(texts: list[str | None], keys: np.ndarray, samples: int, latti
 
 
 def sample_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, samples: int = 2,
-                  alpha: float = ALPHA, model: str = MODEL, kept: str | None = None) -> DataFrame:
+                  alpha: float = ALPHA, model: str = MODEL, decode: bool = False) -> DataFrame:
     """`id, sample (from 1), ids, log_prob, perturbed, inclusion`: distinct segmentations of every whole text.
 
-    The column `kept`, if named, goes along with the id.
+    With `decode`, every sample's ids are decoded at once, as `decode_pieces` does, next to the text they were made of:
+    `decoded_sha256` of the decoded text's UTF-8 bytes, and `round_trip`, whether it is the text (null: empty).
     """
-    carried = [id_column, *([kept] if kept else [])]
     holder: list[Lattices] = []
+    names = [id_column, "sample", "ids", "log_prob", "perturbed", "inclusion", *(["decoded_sha256", "round_trip"] if decode else [])]
+    known: list[pa.LargeBinaryArray] = []
+
+    def told(ids: pa.ListArray, texts: list[str]) -> list[pa.Array]:
+        if not known:
+            known.append(piece_bytes(model))
+        decoded = texts_of(ids, known[0])
+        return [pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()),
+                pa.array([d == t for d, t in zip(decoded, texts)], pa.bool_())]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not holder:
             holder.append(Lattices(model, alpha))
         lattices = holder[0]
-        texts, keys = batch.column(len(carried)).to_pylist(), batch.column(len(carried) + 1).to_numpy()
+        texts, keys = batch.column(1).to_pylist(), batch.column(2).to_numpy()
         low = 0
         while low < len(texts):
             high, held = low, 0
@@ -482,18 +492,19 @@ def sample_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 with np.errstate(over="ignore"):
                     inclusion = -np.expm1(-np.exp(r.log_prob - left))
                 ends = np.append(r.ends[:-1][rows], len(r.edge)).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(pieces[r.edge]))
                 yield pa.RecordBatch.from_arrays([
-                    *[batch.column(i).slice(low, high - low).take(pa.array(rows)) for i in range(len(carried))],
+                    batch.column(0).slice(low, high - low).take(pa.array(rows)),
                     pa.array(np.full(len(rows), turn + 1, np.int32)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(pieces[r.edge])),
-                    pa.array(r.log_prob[rows]), pa.array(r.value[rows]), pa.array(inclusion[rows]),
-                ], names=[*carried, "sample", "ids", "log_prob", "perturbed", "inclusion"])
+                    ids, pa.array(r.log_prob[rows]), pa.array(r.value[rows]), pa.array(inclusion[rows]),
+                    *(told(ids, [texts[low + i] or "" for i in rows.tolist()]) if decode else []),
+                ], names=names)
             low = high
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    keyed = docs.select(*carried, F.col(text_column), F.xxhash64(id_column).alias("row_key"))
-    return by_batch(keyed, run, f"{kinds}, sample int, ids array<int>, log_prob double, "
-                                "perturbed double, inclusion double", rows=TEXTS)
+    kind = docs.schema[id_column].dataType.simpleString()
+    keyed = docs.select(F.col(id_column), F.col(text_column), F.xxhash64(id_column).alias("row_key"))
+    return by_batch(keyed, run, f"`{id_column}` {kind}, sample int, ids array<int>, log_prob double, "
+                                "perturbed double, inclusion double" + (", decoded_sha256 string, round_trip boolean" if decode else ""), rows=TEXTS)
 
 
 def decode_pieces(encoded: DataFrame, ids_column: str = "ids", text_column: str = "text", *,
@@ -507,10 +518,7 @@ def decode_pieces(encoded: DataFrame, ids_column: str = "ids", text_column: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not held:
-                pieces, bytes_, _ = vocabulary(model)
-                known = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {
-                    i: bytes([b]) for b, i in enumerate(bytes_)}
-                held.append(pa.array([known.get(i, b"") for i in range(max(known) + 2)], pa.large_binary()))
+                held.append(piece_bytes(model))
             lists = batch.column(batch.schema.get_field_index(ids_column))
             ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             cuts = (np.flatnonzero(np.diff(ends // CHARACTERS)) + 1).tolist()
@@ -522,6 +530,13 @@ def decode_pieces(encoded: DataFrame, ids_column: str = "ids", text_column: str
     return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(text_column, StringType())]))
 
 
+def piece_bytes(model: str) -> pa.LargeBinaryArray:
+    """The bytes of each piece by its id, and an empty entry at the end."""
+    pieces, bytes_, _ = vocabulary(model)
+    known = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(bytes_)}
+    return pa.array([known.get(i, b"") for i in range(max(known) + 2)], pa.large_binary())
+
+
 def texts_of(lists: pa.ListArray, known: pa.LargeBinaryArray) -> list[str | None]:
     """The text of each list of piece ids; the last entry of `known`, which is empty, stands for all ids it does not hold."""
     ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)

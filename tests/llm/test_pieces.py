@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -100,4 +101,5 @@ def test_query_decodes_all_samples(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "the cat"])] + [(None, "no id")],
                           "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = QUERIES["op6_sentencepiece"](spark, str(tmp_path)).collect()
+    assert {r["decoded_sha256"] for r in rows} == {hashlib.sha256((t or "").encode()).hexdigest() for t in [*TEXTS, "no id"]}
     assert all(r["round_trip"] for r in rows) and len({r["doc_id"] for r in rows}) == len(TEXTS) + 2
