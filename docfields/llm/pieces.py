@@ -21,7 +21,6 @@ samples; an empty table gives an empty one.
 
 import hashlib
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -37,8 +36,6 @@ from docfields.llm.common import by_batch
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-# No piece of the vocabulary crosses the borders of these units.
-UNIT = re.compile(rf"\n|{MARK}| +[^ \n{MARK}]*|[^ \n{MARK}]+")
 ALPHA = 1.0
 # Lattice nodes a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
@@ -68,6 +65,30 @@ def vocabulary(model: str) -> tuple[dict[str, tuple[int, float]], list[int], flo
     return pieces, bytes_, -math.log(size * total)
 
 
+def units_of(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct units of some texts with a space before each, the unit at every place, and each text's number of units.
+
+    A unit is a line feed, a word mark, or spaces and what follows them up to the next of these; no piece of the
+    vocabulary crosses their borders. They are cut and told apart as bytes, all texts at once.
+    """
+    parts = [(" " + text).encode() if text else b"" for text in texts]
+    blob = b"".join(parts)
+    data = np.frombuffer(blob, np.uint8)
+    begin = np.cumsum(np.append(0, np.fromiter(map(len, parts), np.int64, len(parts))))
+    line, space = data == 0x0A, data == 0x20
+    mark = np.zeros(len(data), bool)
+    mark[:-2] = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
+    cut = line | mark | space
+    cut[1:] &= ~(space[1:] & space[:-1])
+    cut[1:] |= line[:-1]
+    cut[3:] |= mark[:-3]
+    cut[begin[:-1][np.diff(begin) > 0]] = True
+    bounds = np.flatnonzero(cut)
+    units = pa.LargeStringArray.from_buffers(
+        len(bounds), pa.py_buffer(np.append(bounds, len(data)).astype(np.int64)), pa.py_buffer(blob)).dictionary_encode()
+    return units.dictionary.to_numpy(zero_copy_only=False).tolist(), units.indices.to_numpy(), np.diff(np.searchsorted(bounds, begin))
+
+
 class Trie:
     """The pieces as a tree of characters, followed from many places of a text at once."""
 
@@ -127,6 +148,7 @@ class Lattices:
     def __init__(self, model: str, alpha: float):
         _, self.bytes, self.byte_weight = vocabulary(model)
         self.trie, self.alpha = Trie(model), alpha
+        self.space: dict[str, np.ndarray] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -138,8 +160,22 @@ class Lattices:
         self.upto = np.empty(0)
         self.first = np.zeros(1, np.int64)
 
+    def grow(self, **more: np.ndarray) -> None:
+        """Append to the arrays of these names, in space that is kept and doubled when it is full."""
+        for name, values in more.items():
+            old, space = getattr(self, name), self.space.get(name)
+            size = len(old) + len(values)
+            if space is None or len(space) < size:
+                space = self.space[name] = np.empty(max(size, 2 * len(old)), old.dtype)
+                space[:len(old)] = old
+            elif not len(old) or old.base is not space:
+                space[:len(old)] = old
+            space[len(old):size] = values
+            setattr(self, name, space[:size])
+
     def nodes_of(self, units: list[str]) -> np.ndarray:
-        new = [u for u in dict.fromkeys(units) if u not in self.start]
+        """The first nodes of different units."""
+        new = [u for u in units if u not in self.start]
         if new:
             self.build(new)
         return np.fromiter(map(self.start.__getitem__, units), np.int32, len(units))
@@ -216,10 +252,7 @@ class Lattices:
         origin = np.repeat(np.arange(base, base + n, dtype=np.int32), counts)
         piece, follow, log, upto, origin, first = self.chained(
             code, order, piece, follow, log, upto, origin, first, base + n)
-        self.piece, self.follow = np.append(self.piece, piece), np.append(self.follow, follow)
-        self.log, self.upto = np.append(self.log, log), np.append(self.upto, upto)
-        self.origin = np.append(self.origin, origin)
-        self.first = np.append(self.first, first[1:] + self.first[-1])
+        self.grow(piece=piece, follow=follow, log=log, upto=upto, origin=origin, first=first[1:] + self.first[-1])
         self.start.update(zip(units, (rank[begin] + base).tolist()))
 
     def chained(self, code, order, piece, follow, log, upto, origin, first, free):
@@ -308,7 +341,7 @@ class Found:
 
     `edge` holds all steps of all texts, text by text, `ends` where each begins; `units` the steps of each
     unit. Sets are looked at for the first `HEAD` steps of a text. A set at a later step cannot be higher than its
-    shared path's log-probability plus `HIGHEST`; where that might be the best, more steps are looked at.
+    shared path's log-probability plus `HIGHEST`; where that might be the best, the steps that might are looked at too.
     """
 
     HEAD = 48
@@ -317,60 +350,81 @@ class Found:
         self.edge, self.ends, self.unit_ends = edge, ends, unit_ends
         self.value, self.turn, self.begin, self.taken = value, turn, begin, taken
         self.keys, self.lattices = keys, lattices
-        self.texts = np.flatnonzero(ends[1:] > ends[:-1])
-        log = lattices.log[edge]
-        self.log_prob = np.zeros(len(value))
+        self.size = np.diff(ends)
+        self.texts = np.flatnonzero(self.size)
+        n, log = len(value), lattices.log[edge]
+        self.log_prob = np.zeros(n)
         if len(edge):
             self.log_prob[self.texts] = np.add.reduceat(log, ends[:-1][self.texts])
-        self.gone: list[tuple[int, int]] = []
-        self.open_sets(np.minimum(np.diff(ends), self.HEAD))
-
-    def open_sets(self, head: np.ndarray) -> None:
-        n, first = len(self.value), self.lattices.first
-        head = np.maximum(head, np.where(np.diff(self.ends) > 0, self.begin + 1, 0))
-        self.low = np.cumsum(np.append(0, head))
-        text = np.repeat(np.arange(n), head)
-        place = np.arange(len(text)) - self.low[text]
-        edge = self.edge[self.ends[text] + place]
-        p = self.lattices.log[edge]
-        before = np.cumsum(p) - p
-        before -= before[self.low[text]] if len(p) else 0.0
+        # Running sums of all steps, and those before each text.
+        self.upto = np.append(0.0, np.cumsum(log))
+        self.seen = np.zeros(n, np.int64)
+        self.top, self.step = np.full(n, -np.inf), np.zeros(n, np.int64)
+        # Runs of steps looked at so far: their texts, the first step of each, where its values begin, the values.
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.open_sets(self.texts, np.minimum(self.size, np.maximum(self.HEAD, begin + 1))[self.texts])
+        self.look_on(self.texts)
+
+    def open_sets(self, texts: np.ndarray, stop: np.ndarray) -> None:
+        """Look at the steps of these texts from those seen up to `stop`."""
+        if not len(texts):
+            return
+        first, start = self.lattices.first, self.seen[texts]
+        low = np.cumsum(np.append(0, stop - start))
+        text = np.repeat(texts, stop - start)
+        place = np.arange(low[-1]) + np.repeat(start - low[:-1], stop - start)
+        at = self.ends[text] + place
+        edge = self.edge[at]
+        before = self.upto[at] - self.upto[self.ends[text]]
         node = self.lattices.origin[edge]
         with np.errstate(divide="ignore"):
-            rest = np.where(first[node + 1] - first[node] > 1, np.log(np.maximum(-np.expm1(p), 1e-300)), -np.inf)
-        for i, edges in self.taken.items():
-            at = self.low[i] + self.begin[i]
-            left = [self.lattices.log[e] for e in edges_of(first, node[at]) if e not in edges]
-            rest[at] = np.logaddexp.reduce(left) if left else -np.inf
+            rest = np.where(first[node + 1] - first[node] > 1,
+                            np.log(np.maximum(-np.expm1(self.lattices.log[edge]), 1e-300)), -np.inf)
+        for k in np.flatnonzero((start <= self.begin[texts]) & (self.begin[texts] < stop)).tolist() if self.taken else ():
+            i = int(texts[k])
+            if i in self.taken:
+                own = low[k] + self.begin[i] - start[k]
+                left = [self.lattices.log[e] for e in edges_of(first, node[own]) if e not in self.taken[i]]
+                rest[own] = np.logaddexp.reduce(left) if left else -np.inf
         u = chances(seeded(self.keys[text], place, (self.turn << 32) + (1 << 31)))
-        self.open = below(before + rest, self.value[text], u)
-        self.open[place < self.begin[text]] = -np.inf
-        self.text = text
-        # What no later step can exceed.
-        self.bound = np.full(n, -np.inf)
-        cut = np.flatnonzero(head < np.diff(self.ends))
-        if len(cut):
-            last = self.low[cut + 1] - 1
-            self.bound[cut] = before[last] + p[last] + HIGHEST
-        for i, step in self.gone:
-            self.open[self.low[i] + step] = -np.inf
-        self.look()
-
-    def look(self) -> None:
-        """The best open set of each text: its value and its step."""
-        n = len(self.value)
-        self.top, self.step = np.full(n, -np.inf), np.zeros(n, np.int64)
-        if len(self.texts):
-            self.top[self.texts] = np.maximum.reduceat(self.open, self.low[:-1][self.texts])
-            hit = np.flatnonzero(self.open == self.top[self.text])[::-1]
-            self.step[self.text[hit]] = hit - self.low[self.text[hit]]
-        if (self.top < self.bound).any():
-            head = np.diff(self.low)
-            self.open_sets(np.where(self.top < self.bound, np.minimum(np.diff(self.ends), 4 * head), head))
-
-    def close(self, i: int, step: int) -> None:
-        self.gone.append((i, step))
-        self.open[self.low[i] + step] = -np.inf
+        values = below(before + rest, self.value[text], u)
+        values[place < self.begin[text]] = -np.inf
+        self.runs.append((texts, start, low, values))
+        self.seen[texts] = stop
+        self.improve(texts, start, low, values)
+
+    def improve(self, texts: np.ndarray, start: np.ndarray, low: np.ndarray, values: np.ndarray) -> None:
+        """Take over the best of some steps where it is the best so far."""
+        most = np.maximum.reduceat(values, low[:-1])
+        own = np.repeat(np.arange(len(texts)), np.diff(low))
+        hit = np.flatnonzero(values == most[own])[::-1]
+        where = np.zeros(len(texts), np.int64)
+        where[own[hit]] = hit - low[own[hit]]
+        better = most > self.top[texts]
+        self.top[texts[better]] = most[better]
+        self.step[texts[better]] = (start + where)[better]
+
+    def look_on(self, texts: np.ndarray) -> None:
+        """Look at all later steps of these texts that could exceed the best so far."""
+        texts = texts[self.seen[texts] < self.size[texts]]
+        # Running sums fall from step to step; the bound allows for their rounding.
+        until = self.upto[self.ends[:-1][texts]] + self.top[texts] - HIGHEST - 1e-6
+        stop = np.fromiter((np.searchsorted(-self.upto[a:b], -x, "right") for a, b, x in zip(
+            self.ends[:-1][texts].tolist(), self.ends[1:][texts].tolist(), until.tolist())), np.int64, len(texts))
+        more = stop > self.seen[texts]
+        self.open_sets(texts[more], stop[more])
+
+    def close(self, texts: np.ndarray) -> None:
+        """Take the best sets of these texts away and find the next best."""
+        steps = self.step[texts]
+        self.top[texts] = -np.inf
+        closed = np.full(len(self.value), -1, np.int64)
+        closed[texts] = steps
+        for own, start, low, values in self.runs:
+            gone = np.flatnonzero((closed[own] >= start) & (closed[own] < start + np.diff(low)))
+            values[low[gone] + closed[own[gone]] - start[gone]] = -np.inf
+            self.improve(own, start, low, values)
+        self.look_on(texts)
 
 
 def edges_of(first: np.ndarray, node: int) -> range:
@@ -380,14 +434,8 @@ def edges_of(first: np.ndarray, node: int) -> range:
 def segmentations(texts: list[str | None], keys: np.ndarray, samples: int, lattices: Lattices) -> tuple[list, np.ndarray]:
     """The rounds' found paths, best first for each text, and the value of the best set left unopened."""
     n = len(texts)
-    units: list[str] = []
-    size = np.zeros(n, np.int64)
-    for i, text in enumerate(texts):
-        if text:
-            own = UNIT.findall(" " + text)
-            size[i] = len(own)
-            units += own
-    start = lattices.nodes_of(units)
+    distinct, units, size = units_of(texts)
+    start = lattices.nodes_of(distinct)[units]
     first, log, follow = lattices.first, lattices.log, lattices.follow
     owner = np.repeat(np.arange(n), size)
     unit_low = np.cumsum(np.append(0, size))
@@ -418,7 +466,6 @@ def segmentations(texts: list[str | None], keys: np.ndarray, samples: int, latti
             free = [e for e in edges_of(first, node) if e not in gone]
             weights = np.cumsum(np.exp(log[free] - log[free].max()))
             chosen = free[int(np.searchsorted(weights, u[i] * weights[-1]))]
-            old.close(i, step)
             begin[i], taken[i] = step, gone | {chosen}
             # The last unit of this text that begins at or before the step.
             left[i] = np.searchsorted(old.unit_ends[unit_low[i]:unit_low[i + 1]], low + step, "right") - 1 + unit_low[i]
@@ -427,7 +474,7 @@ def segmentations(texts: list[str | None], keys: np.ndarray, samples: int, latti
             heads.append((head, old.unit_ends[unit_low[i]:left[i] + 1] - low))
             again.append(int(follow[chosen]))
         for r in set(which[live].tolist()):
-            rounds[r].look()
+            rounds[r].close(live[which[live] == r])
         # The rest of the unit that was left, and all later units, are drawn anew.
         again = np.array(again, np.int64)
         later = np.flatnonzero(np.arange(len(units)) > left[owner])
