@@ -122,12 +122,13 @@ def pages_of_large_files(spark: SparkSession, path: str, delimiter: str = PAGE_B
 def names_may_clash(files: DataFrame) -> bool:
     """Whether two files could give the same page name; looks at names only.
 
-    That takes an image named like a PDF page, or PDFs whose names differ in the ending only.
+    That takes an image named like a PDF page, PDFs whose names differ in the ending only, or one name in several folders.
     """
     names = files.select(file_name(F.col("path")).alias("name"))
     images = names.where(~is_pdf(F.col("name")) & F.col("name").rlike(r"_page_\d+\.png$"))
-    stems = names.where(is_pdf(F.col("name"))).groupBy(file_stem(F.col("name"))).count()
-    return not (images.isEmpty() and stems.where("count > 1").isEmpty())
+    document = F.when(is_pdf(F.col("name")), file_stem(F.col("name"))).otherwise(F.col("name"))
+    documents = names.groupBy(is_pdf(F.col("name")), document).count()
+    return not (images.isEmpty() and documents.where("count > 1").isEmpty())
 
 
 def without_text(pages: DataFrame) -> DataFrame:

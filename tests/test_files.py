@@ -71,12 +71,18 @@ def test_page_names(spark, tmp_path):
     assert sorted(r["page_id"] for r in pages.collect()) == ["s_page_1.png", "s_page_1.png", "s_page_2.png"]
     assert sorted(r["page_id"] for r in distinct_pages(pages).collect()) == ["s_page_1.png", "s_page_2.png"]
     assert pages.select(page_path("/x", F.col("page_id")).alias("p")).head()["p"].startswith("/x/s_page_")
-    for files, clash in ((["a.pdf", "b_page_1.png"], True), (["a.pdf", "a.PDF"], True), (["a.pdf", "b.png"], False)):
+    for files, clash in ((["a.pdf", "b_page_1.png"], True), (["a.pdf", "a.PDF"], True), (["a.pdf", "b.png"], False),
+                         (["a.pdf", "a"], False), (["1/b.png", "2/b.png"], True), (["1/a.pdf", "2/a.pdf"], True)):
         listed = spark.createDataFrame([(f"file:/x/{f}",) for f in files], "path string")
         assert names_may_clash(listed) is clash
     (tmp_path / "a.pdf").write_text("x")
     (tmp_path / "a_page_1.png").write_text("x")
     assert read_pages(spark, str(tmp_path)).count() == 1
+    for folder in ("in1", "in2"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "scan.png").write_text(folder)
+    both = read_pages(spark, str(tmp_path / "in*"), lambda content: content.decode())
+    assert [(r["page_id"], r["text"]) for r in both.collect()] == [("scan.png", "in1")]
 
 
 def test_whole_job(spark, folder, tmp_path):
