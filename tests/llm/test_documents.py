@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docfields.llm import language, mixing, secrets, sharding, toxicity
 from docfields.llm.queries import ORACLE, QUERIES
@@ -195,6 +196,39 @@ def test_pipeline(spark):
     assert all(s(spark, table.limit(0), SF_DIR).count() == 0 for _, s in corpus_pipeline.STAGES)
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null ids, null, empty and very long texts, repeated rows and another table's columns, stage by stage."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    table = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    first = table.where("lang = 'en'").orderBy("doc_id").head()
+    long = " ".join(random.Random(1).choices(first["text"].split(), k=20_000))
+    secret = first["text"] + " password = Zq8xVt3LmW9rKp2s and more"
+    odd = [(900_001, None), (900_002, ""), (900_003, long), (None, secret), (None, secret), (900_004, first["text"])]
+    rows = spark.createDataFrame([(i, t, first["lang"], first["source"], len(t or "")) for i, t in odd], DOCS)
+    every = table.unionByName(rows.select(*[F.col(c).cast(table.schema[c].dataType) for c in table.columns]))
+    every = every.withColumn("score", F.lit("own")).withColumn("sample", F.lit("own"))
+
+    def held(found):
+        return Counter((r["doc_id"], r["text"]) for r in found.collect() if r["doc_id"] is None or r["doc_id"] > 900_000)
+
+    kept = stages["language_id"](spark, every, SF_DIR)
+    assert kept.columns == every.columns
+    assert held(kept) == {(900_003, long): 1, (None, secret): 2, (900_004, first["text"]): 1}
+    kept = stages["simhash_near_dedup"](spark, kept, SF_DIR)
+    texts = [r["text"] for r in kept.collect()]
+    assert kept.columns == every.columns and texts.count(secret) <= 1 and texts.count(first["text"]) <= 1 and long in texts
+    kept = stages["secret_scan"](spark, every, SF_DIR)
+    assert kept.columns == every.columns and kept.count() == every.count()
+    assert not any("Zq8xVt3LmW9rKp2s" in (t or "") for _, t in held(kept)) and held(kept)[900_001, None] == 1
+    mixed = stages["mix_sources"](spark, every, SF_DIR)
+    assert mixed.columns == every.columns and {r["score"] for r in mixed.select("score").collect()} == {"own"}
+    pieces = stages["sentencepiece"](spark, rows, SF_DIR).collect()
+    assert [r["ids"] for r in pieces if r["doc_id"] in (900_001, 900_002)] == [[], []]
+    assert len([r for r in pieces if r["doc_id"] is None]) == 4
+
+
 def test_toxicity_of_held_out_documents(spark):
     """On the given labels: no worse than the best single word's log-odds, and most toxic documents found."""
     folder = "/root/testdata/sf0.1"
