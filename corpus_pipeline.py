@@ -15,7 +15,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; the model learns from the labelled three quarters of them."""
+    """Documents whose language is found; the model learns from the labelled three quarters of them.
+
+    Null texts and texts without a letter go; null ids, very long texts, repeated rows and all columns stay.
+    """
     model = language.learn(docs.where(remainder("doc_id", 4) != 2))
     found = language.identify(docs, model)
     kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
@@ -23,22 +26,28 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that of the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that of the smallest id.
+
+    Repeated rows are such a group. A text that repeats another many times over has nearly its fingerprint and counts as its copy.
+    """
     return simhash.one_of_each(docs, width=5, similarity=0.8)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in the place of each secret."""
+    """All documents, with a mark in the place of each secret; null texts stay null, `n_chars` follows the text."""
     return secrets.redact_secrets(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as drawn for their sources' weights, in mixed order."""
+    """Documents as often as drawn for their sources' weights, in mixed order.
+
+    The draw depends on the id alone, so rows of one id, null too, are drawn alike; a null source is a source of its own.
+    """
     return mixing.mix(docs).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document."""
+    """Sampled segmentations of every document; null and empty texts have the empty one, repeated rows repeat theirs."""
     return pieces.sample_pieces(docs)
 
 
