@@ -1,5 +1,7 @@
 import hashlib
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -48,6 +50,15 @@ def test_round_trip_distinct_and_ordered(spark):
     assert {(r["doc_id"], r["sample"]): r["ids"] for r in again} == {(r["doc_id"], r["sample"]): r["ids"] for r in rows}
 
 
+def test_units_are_those_of_a_pattern():
+    draw = random.Random(3)
+    texts = ["".join(draw.choices(" \n▁aé漢😀", k=draw.randrange(12))) for _ in range(2_000)] + [None, "", " ", *TEXTS]
+    distinct, units, size = pieces.units_of(texts)
+    truth = [re.findall(r"\n|▁| +[^ \n▁]*|[^ \n▁]+", " " + t) if t else [] for t in texts]
+    assert [distinct[u] for u in units] == [u for own in truth for u in own] and size.tolist() == list(map(len, truth))
+    assert len(set(distinct)) == len(distinct) and pieces.units_of([None])[2].tolist() == [0]
+
+
 def test_all_segmentations_of_a_short_text():
     truth = every("at on")
     rounds, left = segmentations(["at on"], np.array([7]), len(truth) + 5, Lattices(MODEL, 1.0))
