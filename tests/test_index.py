@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docfields.operators.extract import extract, extract_long, text_hits
-from docfields.operators.index import contains_pairs, long_text_hits
+from docfields.operators.index import contains_pairs, long_text_hits, pages_with_terms
 from docfields.operators.tables import cell_hits, header_hits, table_lookup
 from docfields.plans.batch import run
 from docfields.sources.text_tables import text_tables
@@ -98,3 +98,13 @@ def test_run_with_a_term_list(spark, tmp_path):
     assert want and got == sorted((r["image"], r["key"], r["value"]) for r in spark.read.parquet(f"{tmp_path}/list/results").collect())
     with pytest.raises(ValueError):
         run(spark, pages, "t", str(tmp_path), {"t": {}}, term_list=listed(spark, ["x"]), trace=True)
+
+
+def test_pages_get_terms_whose_words_end_where_the_term_has_white_space(spark):
+    pages = spark.createDataFrame(
+        [("in", "xa total"), ("out", "atotal total's a"), ("tab", "b\ttotals"), ("joint", "a subtotal z")], "page_id string, text string")
+    got = pages_with_terms(pages, listed(spark, ["total a", "a total", "\ttotal", "total"]))
+    met = {r["page_id"]: sorted(t["term"] for t in r["terms"]) for r in got.collect()}
+    assert met == {
+        "in": ["\ttotal", "a total", "total", "total a"], "out": ["\ttotal", "a total", "total", "total a"],
+        "tab": ["\ttotal", "a total", "total"], "joint": ["total", "total a"]}
