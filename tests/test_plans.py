@@ -1,13 +1,16 @@
 """The physical plans: what is shuffled, what stays in the JVM, what reaches the scan."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from docfields.operators import extract as extract_module, tables as tables_module
 from docfields.operators.extract import extract
 from docfields.operators.rollup import rollup_both
-from docfields.operators.tables import table_lookup
+from docfields.operators.tables import table_lookup, table_signatures
 from docfields.plans.materialize import materialize
+from docfields.plans.spread import ROWS, spread_rows
 from docfields.sources.text_tables import text_tables
 
 FIELDS = {"total": [r"total:\s*(\d+)"], "iva": [r"iva=(\w+)"]}
@@ -86,3 +89,43 @@ def test_lookup_of_pairs_is_the_lookup_of_all_less_the_others(spark):
     assert len(some) == len(set(some)) > 0
     assert set(some) == {r for r in every if r[:2] in {("p0", 0), ("p1", 1)}}
     assert table_lookup(cells, ["Total"], pairs=pairs.limit(0)).count() == 0
+
+
+def final(df):
+    """The plan as it was run."""
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0]
+
+
+def test_lookup_works_out_candidates_and_duplicates_once(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    spark.createDataFrame(
+        [("p", "lattice", 0, t, r, 0, "total", f"{r % 2}") for t in range(2) for r in range(4)],
+        "page_id string, flavor string, flavor_rank int, table_idx int, row_idx int, col_idx int, header string, cell string",
+    ).write.parquet(path)
+    found = table_lookup(spark.read.parquet(path), ["total"])
+    assert final(found).count("FileScan") == 2 and sorted(r["value"] for r in found.collect()) == ["0", "1"]
+
+
+def test_tables_in_text_are_read_once_a_layout(pages):
+    text = plan(extract(pages, ["total", "iva"], FIELDS))
+    assert text.count("\r?\n") == 2
+
+
+def test_signatures_add_up_machine_numbers(spark):
+    cells = spark.createDataFrame(
+        [("p", "lattice", 0, 0, r, c, "Total", f" A{r}  {c}") for r in range(50) for c in range(3)],
+        "page_id string, flavor string, flavor_rank int, table_idx int, row_idx int, col_idx int, header string, cell string")
+    told = [f"{r}\u0001{c}\u0001total\u0001a{r} {c}" for r in range(50) for c in range(3)]
+    total = sum(int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in told)
+    assert total > 1 << 63
+    assert table_signatures(cells).first()["signature"] == hashlib.md5(f"{total}\u0001{len(told)}".encode()).hexdigest()
+    assert "decimal(20,0)" not in plan(table_signatures(cells))
+
+
+def test_rows_that_become_pages_are_dealt_into_bounded_tasks(spark):
+    dealt = spread_rows(spark.range(0, 4 * ROWS, 1, 2), 4 * ROWS)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spread_rows(spark.range(0, 20 * ROWS, 1, 2), 20 * ROWS)
+    sizes = [r["count"] for r in many.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= ROWS + 20 and sum(sizes) == 20 * ROWS
