@@ -48,6 +48,12 @@ def test_whole_tables_give_what_their_cells_give(whole, sample_rows):
     assert values == found(table_lookup(cells, TERMS, sample_rows=sample_rows)) and (len(values) > 60 or sample_rows == 0)
 
 
+def test_terms_that_are_rows_in_whole_tables(spark, whole):
+    terms = spark.createDataFrame([*enumerate(TERMS), (99, None), (0, "b"), (0, "x"), (1, "7")], "term_pos int, term string")
+    values = found(table_lookup(whole, terms))
+    assert values == found(table_lookup(cells_of(whole), terms)) and len(values) > 60
+
+
 def test_extraction_with_whole_tables(spark, whole):
     texts = ["total: 5 iva=", "iva 7 precio", "", None, "serie 4 total 8\nPrecio: x"]
     pages = spark.createDataFrame([(p, texts[i % 5]) for i, p in enumerate(["p1", "p1", "p2", "p3", *[f"q{i}" for i in range(60)], None, "none"])],
